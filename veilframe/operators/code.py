@@ -48,7 +48,7 @@ def code_spans(docs: DataFrame) -> DataFrame:
     """Literals and comments of texts that look like code: (tenant, doc_id, value, start, end)."""
     code = docs.filter(F.expr(looks_like_code()))
     hits = ", ".join(f"case when text rlike {sql_text(p)} then {i} end" for i, p in enumerate(SPAN_PATTERNS))
-    scanned = code.select("tenant", "doc_id", "text", F.explode(F.expr(f"array_compact(array({hits}))")).alias("prio"))
+    scanned = code.select("tenant", "doc_id", "text", F.explode_outer(F.expr(f"array_compact(array({hits}))")).alias("prio")).filter("prio is not null")
     spans = claim_spans(expand_matches(scanned, SPAN_PATTERNS, [0] * len(SPAN_PATTERNS)))
     return spans.filter(~F.expr(f"value rlike {sql_text(CODE_NOISE)}")).select("tenant", "doc_id", "value", "start", "end")
 

@@ -56,7 +56,7 @@ def paragraph_blocks(docs: DataFrame, extra: dict[str, str] | None = None) -> Da
                           F.transform(F.regexp_extract_all("text", F.lit(SEPARATOR), F.lit(0)), lambda s: F.length(s)).alias("sep"))
     filled = F.size(F.filter(F.split("text", SEPARATOR, -1), lambda b: F.length(b) > 0))
     whole = F.array(F.struct(F.col("text").alias("block"), F.lit(0).alias("sep")))
-    rows = docs.select("doc_id", F.posexplode(F.when(filled <= 1, whole).otherwise(pieces)).alias("block_no", "p"))
+    rows = docs.select("doc_id", F.posexplode_outer(F.when(filled <= 1, whole).otherwise(pieces)).alias("block_no", "p"))
     rows = rows.select("doc_id", "block_no", F.length("p.block").alias("n"), F.coalesce("p.sep", F.lit(0)).alias("sep"),
                        *[F.expr(sql.replace("block", "p.block")).alias(name) for name, sql in extra.items()])
     before = W.partitionBy("doc_id").orderBy("block_no").rowsBetween(W.unboundedPreceding, -1)

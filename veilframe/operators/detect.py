@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from veilframe.functions.ip import is_mask
 from veilframe.functions.sql import sql_array, sql_text
 from veilframe.operators.examples import is_doc_example
-from veilframe.operators.rules import BUILTIN, Rule, guard, java_pattern, resolve_category
+from veilframe.operators.rules import BUILTIN, GATES, Rule, guard, java_pattern
 
 ENTITY_COLUMNS = ["tenant", "doc_id", "value", "start", "end", "category", "confidence", "detector"]
 
@@ -23,6 +23,12 @@ def as_docs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tenan
     return df.select(tenant.alias("tenant"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Give a table that came in fewer partitions than there are cores to all of them; larger tables stay as read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def by_rule(values: list) -> Column:
     """Constant of a rule, looked up by its number in column ``prio``."""
     return F.expr(f"element_at({sql_array(values)}, prio + 1)")
@@ -40,9 +46,11 @@ def raw_matches(docs: DataFrame, rules: list[Rule]) -> DataFrame:
         cheap = guard(rule)
         hits.append(f"case when {test if cheap is None else f'{cheap} and {test}'} then {i} end")
     scanned = (
-        docs.select("tenant", "doc_id", "text", F.lower("text").alias("__lower"), F.col("text").rlike("[0-9]").alias("__digit"))
+        docs.select("tenant", "doc_id", "text", F.lower("text").alias("__lower"), F.col("text").rlike("[0-9]").alias("__digit"),
+                    *[F.col("text").contains(c).alias(name) for c, name in GATES.items()])
         .select("tenant", "doc_id", "text", F.expr(f"array_compact(array({', '.join(hits)}))").alias("__hits"))
-        .select("tenant", "doc_id", "text", F.explode("__hits").alias("prio"))
+        # the outer form keeps the optimiser from evaluating the rules a second time in a size() filter
+        .select("tenant", "doc_id", "text", F.explode_outer("__hits").alias("prio")).filter("prio is not null")
     )
     return expand_matches(scanned, [java_pattern(r) for r in rules], [r.groups for r in rules])
 
@@ -62,7 +70,7 @@ def expand_matches(scanned: DataFrame, patterns: list[str], groups: list[int], p
         # the text between matches gives exact offsets, whatever look-around the pattern uses
         F.transform(F.split("text", pattern, -1), lambda piece: F.length(piece)).alias("gap"),
     )
-    rows = rows.select("tenant", "doc_id", "prio", "__groups", F.posexplode(found).alias("m_no", "m")).filter("m.full is not null")
+    rows = rows.select("tenant", "doc_id", "prio", "__groups", F.posexplode_outer(found).alias("m_no", "m")).filter("m.full is not null")
     # one exchange for everything that follows: claims, context, overlaps all work per document
     rows = rows.repartition("doc_id")
     before = W.partitionBy("doc_id", "prio").orderBy("m_no").rowsBetween(W.unboundedPreceding, -1)
@@ -80,7 +88,7 @@ def expand_matches(scanned: DataFrame, patterns: list[str], groups: list[int], p
         .otherwise(F.array(part(1, F.col("m.g1"), p1 - 1), part(2, F.col("m.g2"), p2 - 1)))
     )
     return (
-        rows.select("tenant", "doc_id", "prio", "m_no", F.inline(parts))
+        rows.select("tenant", "doc_id", "prio", "m_no", F.inline_outer(parts))
         .filter(F.length("value") > 0)
         .withColumn("end", (F.col("start") + F.length("value")).cast("int"))
     )
@@ -117,7 +125,7 @@ def claim_spans(matches: DataFrame, keys: tuple[str, ...] = ("doc_id",), strict:
     kept = F.aggregate(
         "__spans", F.slice("__spans", 1, 0), lambda acc, x: F.when(claimed(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
     kept = F.when(F.size("__spans") == 1, F.col("__spans")).otherwise(kept)
-    return grouped.select(*keys, F.inline(kept)).select(*matches.columns)
+    return grouped.select(*keys, F.inline_outer(kept)).select(*matches.columns)
 
 
 def detect_regex(docs: DataFrame, rules: list[Rule] | None = None, include_doc_examples: bool = False,
@@ -190,7 +198,7 @@ def sweep(spans: DataFrame, order: list[Column], keys: tuple[str, ...] = ("doc_i
         "__spans", F.slice("__spans", 1, 1),
         lambda acc, x: F.when(x["start"] >= F.element_at(acc, -1)["end"], F.concat(acc, F.array(x))).otherwise(acc))
     kept = F.when(F.size("__spans") == 1, F.col("__spans")).otherwise(kept)
-    return grouped.select(*keys, F.inline(kept)).select(*spans.columns)
+    return grouped.select(*keys, F.inline_outer(kept)).select(*spans.columns)
 
 
 def resolve_overlaps(entities: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -40,7 +40,7 @@ def match_literals(docs: DataFrame, literals: DataFrame, by: tuple[str, ...] = (
         mine = lits.filter(F.col("__k") == k).drop("__k")
         # one match per code point: look ahead k characters, consume one
         windows = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
-        positions = docs.select("doc_id", *by, *keep, "text", F.posexplode(windows).alias("start", "__gram"))
+        positions = docs.select("doc_id", *by, *keep, "text", F.posexplode_outer(windows).alias("start", "__gram"))
         if small:
             hits = positions.join(F.broadcast(mine), [*by, "__gram"])
             hits = hits.filter(F.substring("text", F.col("start") + 1, F.length("literal")) == F.col("literal"))

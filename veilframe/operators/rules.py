@@ -100,6 +100,19 @@ for _name in ("ipv4", "phone_us", "credit_card", "ssn", "mac_address", "iban", "
 del GUARDS["mac_address"]  # hexadecimal letters alone can form one
 
 
+# Rules whose every match holds a digit: texts without digits skip them before any other test.
+NEEDS_DIGIT = set("""
+bgp_asn ospf_router_id ospf_area route_distinguisher route_target vlan_name vlan_range device_name_short
+device_name_hyphenated device_name_infra syslog_facility gps_coordinate modbus_address dnp3_address bacnet_device_id imsi imei
+nav_frequency vxlan_vni juniper_vlan_id switchport_vlan_id vlan_config_id l2vpn_vpn_id eigrp_as mpls_label_range dob_keyword
+dob_iso dob_written npi_number dea_number us_routing_number bank_account_keyword uk_sort_code us_ein tax_id_generic uk_utr
+dl_california us_federal_case patent_number aktenzeichen crypto_ethereum crypto_bitcoin_bech32 aws_account_id phone_intl
+cisco_password_line cisco_username_secret cisco_type7 ntp_auth_key arista_secret windows_sid
+""".split())
+# Characters asked for once per text; a guard literal that holds one is only searched when the text has it.
+GATES = {"-": "__dash", "_": "__under", ":": "__colon", "$": "__dollar", "=": "__equal", "/": "__slash", "\"": "__quote"}
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -170,18 +183,23 @@ def _top_level(pattern: str) -> str:
     return "".join(out)
 
 
-def guard(rule: Rule, text: str = "text", lower_text: str = "__lower", has_digit: str = "__digit") -> str | None:
-    """Cheap necessary condition of a rule as SQL, or None when it has none."""
+def guard(rule: Rule) -> str | None:
+    """Cheap necessary condition of a rule as SQL over text, __lower, __digit and the gate columns, or None."""
     spec = GUARDS.get(rule.name)
     if spec is None:
         return None
     if spec == DIGIT:
-        return has_digit
+        return "__digit"
     if spec.startswith("re:"):
-        return f"{text} rlike {sql_text(spec[3:])}"
-    source = lower_text if "i" in rule.flags else text
-    tests = [" and ".join(f"contains({source}, {sql_text(piece)})" for piece in literal.split("|")) for literal in spec.split(" ")]
-    return "(" + " or ".join(tests) + ")"
+        return f"__colon and text rlike {sql_text(spec[3:])}"
+    source = "__lower" if "i" in rule.flags else "text"
+    tests = []
+    for literal in spec.split(" "):
+        gates = [GATES[c] for c in literal if c in GATES][:1]
+        pieces = [f"contains({source}, {sql_text(p)})" for p in literal.split("|") if p not in GATES]
+        tests.append(" and ".join(gates + pieces))
+    some = "(" + " or ".join(tests) + ")"
+    return f"__digit and {some}" if rule.name in NEEDS_DIGIT else some
 
 
 def family(*names: str) -> list[Rule]:

@@ -32,9 +32,9 @@ def learn_subnets(docs: DataFrame) -> DataFrame:
                             F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("x"))
 
     dotted = docs.filter(F.col("text").rlike(r"\d\.\d"))
-    cidr = dotted.filter(F.col("text").rlike(r"\d/\d")).select("tenant", F.inline(pairs(CIDR))).withColumn(
+    cidr = dotted.filter(F.col("text").rlike(r"\d/\d")).select("tenant", F.inline_outer(pairs(CIDR))).withColumn(
         "prefix_len", F.col("x").cast("int"))
-    masked = dotted.filter(F.col("text").rlike(ADDRESS_MASK)).select("tenant", F.inline(pairs(ADDRESS_MASK))).withColumn(
+    masked = dotted.filter(F.col("text").rlike(ADDRESS_MASK)).select("tenant", F.inline_outer(pairs(ADDRESS_MASK))).withColumn(
         "prefix_len", F.when(valid_ipv4(F.col("x")), mask_length(F.col("x"))).cast("int"))
     return (
         cidr.unionByName(masked).filter(valid_ipv4(F.col("ip")) & F.col("prefix_len").between(MIN_PREFIX, MAX_PREFIX))
