@@ -129,18 +129,17 @@ def denylist_scan(spark, sf_dir):
     return hits.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"), F.min("start").cast("bigint").alias("first_at"), F.max("start").cast("bigint").alias("last_at"))
 
 
-@query("literal_join", """with labels as (select n_name as literal from nation union all select r_name from region union all select s_name from supplier),
- d as (select doc_id, text from (""" + D_NET + """) z)
- select literal, count(*) as texts from d join labels on contains(text, substr(literal, 1, 3)) where false group by literal
- union all select literal, count(*) from (select distinct o_orderpriority as literal from orders) l join (select o_orderkey, concat(o_orderpriority, '/', o_orderstatus, '/', o_orderpriority) as text from orders) t on starts_with(text, literal) group by literal""")
+LIT_TEXT = """select o_orderkey as doc_id, concat('by Customer#', lpad(cast(o_custkey as varchar), 9, '0'), ', not Customer#', lpad(cast(o_custkey * 2 as varchar), 9, '0'), '!') as text from orders"""
+
+
+@query("literal_join", f"""with found as (select doc_id, unnest(regexp_extract_all(text, 'Customer#[0-9]{{9}}')) as literal from ({LIT_TEXT}) t)
+ select literal, count(*) as hits from found join customer on c_name = literal group by literal""")
 def literal_join(spark, sf_dir):
-    from veilframe.plans.corpora import table
+    from veilframe.plans import corpora as C
 
-    orders = table(spark, sf_dir, "orders")
-    docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("/", "o_orderpriority", "o_orderstatus", "o_orderpriority").alias("text"))
-    names = orders.select(F.col("o_orderpriority").alias("literal")).distinct()
-    hits = literals.match_literals(docs, names)
-    return hits.groupBy(F.col("value").alias("literal")).agg(F.countDistinct("doc_id").alias("texts"))
+    docs = C.corpus(spark, sf_dir, LIT_TEXT, ("orders",))
+    names = C.table(spark, sf_dir, "customer").select(F.col("c_name").alias("literal"))
+    return literals.match_literals(docs, names).groupBy(F.col("value").alias("literal")).agg(F.count(F.lit(1)).alias("hits"))
 
 
 # --- filters -------------------------------------------------------------------------------------

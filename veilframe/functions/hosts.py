@@ -52,9 +52,6 @@ def extract_fqdn(url: Column) -> Column:
 
 def org_of_domain(domain: Column) -> Column:
     """The organisation label: ``mail.acme-corp.co.uk`` and ``acme-corp.com`` both give ``acme-corp``."""
-    low = F.lower(domain)
-    stripped = low
-    for tld in reversed(COMPOUND_TLDS):
-        stripped = F.when(low.endswith(tld), F.substring(low, F.lit(1), F.length(low) - len(tld))).otherwise(stripped)
-    no_tld = F.regexp_replace(stripped, r"(?<=.)\.[^.]*$", "")
-    return F.regexp_replace(no_tld, r"^.*\.", "")
+    compound = "|".join(t.replace(".", "[.]") for t in COMPOUND_TLDS)
+    bare = F.regexp_replace(F.lower(domain), f"({compound}|(?<=.)[.][^.]*)$", "")
+    return F.substring_index(bare, ".", -1)
