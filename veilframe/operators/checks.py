@@ -46,7 +46,11 @@ def missing_categories(entities: DataFrame, expected: list[str]) -> DataFrame:
 def scan_fake_ranges(texts: DataFrame) -> DataFrame:
     """Traces of the fake address space: (kind, value, n)."""
     kinds = [("v4", FAKE_V4), ("v6", FAKE_V6), ("range", FAKE_V4_RANGE)]
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p in kinds]))
+
+    def tagged(kind: str, pattern: str):
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.flatten(F.array(*[tagged(k, p) for k, p in kinds]))
     likely = texts.filter(F.col("text").contains("100.") | F.col("text").contains("fd00:"))
     return likely.select(F.inline_outer(found)).filter("kind is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilframe.functions.keyed import Keys
-from veilframe.operators.fakes import fake_sql, seed_sql
+from veilframe.operators.fakes import GENERATORS, fake_sql, seed_sql
 from veilframe.operators.ranks import ordered_rank
 from veilframe.operators.subnets import allocate_subnets, prefix_len
 from veilframe.session import materialize
@@ -57,9 +59,24 @@ def mint(values: DataFrame, keys: Keys, known_subnets: DataFrame | None = None,
         values = values.withColumns({c: F.lit(None).cast("bigint") for c in ("ip", "real_net", "fake_net")})
     if "first_seen" not in values.columns:
         values = values.withColumn("first_seen", F.lit(0).cast("bigint"))
-    minted = with_seed(values, keys).select(
-        "tenant", F.col("value").alias("real"), F.expr(fake_sql(keys, categories, custom)).alias("fake"), "category", "seed", "first_seen")
-    return minted, subnets
+    return _fakes(with_seed(values, keys), lambda names: fake_sql(keys, names, custom), categories), subnets
+
+
+CASE_WIDTH = 8  # categories per generated projection; wider ones exceed what the JVM compiles into one method
+
+
+def _fakes(seeded: DataFrame, expression: Callable[[list[str] | None], str], categories: list[str] | None) -> DataFrame:
+    """Apply the stand-in expressions in groups of categories: each group filters its own values."""
+    known = list(GENERATORS)
+    wanted = [c for c in known if categories is None or c in categories]
+    groups = [wanted[i:i + CASE_WIDTH] for i in range(0, len(wanted), CASE_WIDTH)]
+    rest = seeded.filter(~F.col("category").isin(*known)) if categories is None or set(categories) - set(known) else None
+    parts = [(seeded.filter(F.col("category").isin(*g)), g) for g in groups] + ([(rest, [])] if rest is not None else [])
+    out = None
+    for part, names in parts:
+        one = part.select("tenant", F.col("value").alias("real"), F.expr(expression(names)).alias("fake"), "category", "seed", "first_seen")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def fix_collisions(minted: DataFrame, keys: Keys, store: DataFrame | None = None, custom: dict[str, str] | None = None) -> DataFrame:
@@ -99,16 +116,16 @@ def fix_collisions(minted: DataFrame, keys: Keys, store: DataFrame | None = None
 
 
 def _try_again(lost: DataFrame, keys: Keys, attempt: int, custom: dict[str, str] | None) -> DataFrame:
-    v4 = "fake rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' and category = 'ip_address'"
-    bumped = "concat(substring_index(fake, '.', 3), '.', cast((cast(substring_index(fake, '.', -1) as int) + 1) % 256 as string))"
+    v4 = "old rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' and category = 'ip_address'"
+    bumped = "concat(substring_index(old, '.', 3), '.', cast((cast(substring_index(old, '.', -1) as int) + 1) % 256 as string))"
     seeded = with_seed(lost.withColumnRenamed("real", "value").withColumnRenamed("fake", "old"), keys, f"concat(char(0), '{attempt}')")
     seeded = seeded.withColumns({c: F.lit(None).cast("bigint") for c in ("ip", "real_net", "fake_net")})
     if attempt <= REMINT_ROUNDS:
-        fresh = f"case when {v4.replace('fake', 'old')} then {bumped.replace('fake', 'old')} else {fake_sql(keys, None, custom)} end"
-    else:
-        n = 12 * 2 ** (attempt - REMINT_ROUNDS - 1)
-        fresh = f"case when old rlike '^[0-9]+$' then concat(old, substring(d, 1, {n})) else concat(old, '-', substring(h, 1, {n})) end"
-    return seeded.select("tenant", F.col("value").alias("real"), F.expr(fresh).alias("fake"), "category", "seed", "first_seen")
+        return _fakes(seeded, lambda names: f"case when {v4} then {bumped} else {fake_sql(keys, names, custom)} end",
+                      [r[0] for r in lost.select("category").distinct().collect()])  # a closed list
+    n = 12 * 2 ** (attempt - REMINT_ROUNDS - 1)
+    longer = f"case when old rlike '^[0-9]+$' then concat(old, substring(d, 1, {n})) else concat(old, '-', substring(h, 1, {n})) end"
+    return seeded.select("tenant", F.col("value").alias("real"), F.expr(longer).alias("fake"), "category", "seed", "first_seen")
 
 
 def upsert_store(store: DataFrame, new: DataFrame) -> DataFrame:

@@ -109,17 +109,17 @@ def reassemble_messages(leaves: DataFrame, id_col: str = "msg_id") -> DataFrame:
 def walk_deep(df: DataFrame, json_col: str, fn: Callable[[Column], Column], out: str = "json_out") -> DataFrame:
     """A text function on every string value of a JSON text, at any depth.
 
-    Works on the serialised form: string values are the quoted runs that no colon follows, which are cut
-    out, unescaped, changed and escaped again; keys, numbers and structure stay as they are.
+    Works on the serialised form: quoted runs are cut out; those that a colon follows are keys and stay, the
+    others are unescaped, changed and escaped again.  Numbers and structure stay as they are.
     """
-    token = r'"(?:[^"\\]|\\.)*+"(?!\s*:)'
+    token = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
     values = F.regexp_extract_all(json_col, F.lit(token), F.lit(0))
     between = F.split(json_col, token, -1)
 
     def changed(v: Column) -> Column:
         plain = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
         boxed = F.to_json(F.struct(fn(plain).alias("v")))
-        return F.when(fn(plain) == plain, v).otherwise(F.substring(boxed, F.lit(6), F.length(boxed) - 6))
+        return F.when(v.endswith(":") | (fn(plain) == plain), v).otherwise(F.substring(boxed, F.lit(6), F.length(boxed) - 6))
 
     woven = F.zip_with(between, values, lambda b, v: F.concat(b, F.coalesce(changed(v), v, F.lit(""))))
     return df.withColumn(out, F.array_join(woven, ""))

@@ -95,7 +95,7 @@ def restore_derived(docs: DataFrame, mapping: DataFrame, subnets: DataFrame | No
 
 def restore_json(docs: DataFrame, mapping: DataFrame, out: str = "text_out") -> DataFrame:
     """Restore inside serialised JSON: real values are escaped first, and text that would no longer parse is kept."""
-    escaped = F.expr("substring(to_json(named_struct('v', real)), 6, length(to_json(named_struct('v', real))) - 7)")
+    escaped = F.expr("substring(to_json(named_struct('v', real)), 7, length(to_json(named_struct('v', real))) - 8)")
     done = restore(docs, mapping.withColumn("real", escaped), "__restored")
     still_json = F.expr("try_parse_json(__restored) is not null")
     return done.withColumn(out, F.when(still_json, F.col("__restored")).otherwise(F.col("text"))).drop("__restored")
