@@ -80,65 +80,89 @@ def chain_payload(previous: Column, row: Column | None = None) -> Column:
     return F.concat(previous, F.lit(":"), c("ts").cast("string"), F.lit(":"), c("event_type"), F.lit(":"), c("cats"))
 
 
-def chain(audit: DataFrame, secret: str) -> DataFrame:
-    """Tamper-evident chain per session: each hash covers the one before, time, type and categories.
+SEGMENT = 1_000_000  # sequence numbers per chain segment
 
-    A chain cannot be cut for parallel work: entry n needs hash n-1.  Sessions run side by side; within
-    one, rows stream in order through Arrow batches with one hash as state, so memory stays flat.
-    """
-    secret_bytes = secret.encode("utf-8")
-    rows = audit.withColumn("cats", category_json())
-    schema = "session string, seq bigint, ts bigint, event_type string, cats string, chain_hash string"
+
+def _chained(rows: DataFrame, columns: str, message, genesis: str, digest) -> DataFrame:
+    """Fold a hash over the rows of each (session, segment) in order; batches stream through, one hash is the state."""
+    names = [c.strip().split(" ")[0] for c in columns.split(",")]
 
     def run(batches):
+        at, last = None, genesis
+        for batch in batches:
+            hashes = []
+            for row in batch.itertuples(index=False):
+                if (row.session, row.segment) != at:
+                    at = (row.session, row.segment)
+                    last = genesis if row.segment == 0 else digest(f"{genesis}:{row.segment}")
+                last = digest(message(last, row))
+                hashes.append(last)
+            yield batch.assign(chain_hash=hashes)
+
+    ordered = rows.select(*names).repartition("session", "segment").sortWithinPartitions("session", "segment", "seq")
+    return ordered.mapInPandas(run, columns + ", chain_hash string")
+
+
+def _hmac_digest(secret: str):
+    key = secret.encode("utf-8")
+
+    def digest(text: str) -> str:
         import hashlib
         import hmac
 
-        import pandas as pd
+        return hmac.new(key, text.encode(), hashlib.sha256).hexdigest()
+
+    return digest
 
-        session, last = None, GENESIS
-        for batch in batches:
-            hashes = []
-            for s, ts, kind, cats in zip(batch["session"], batch["ts"], batch["event_type"], batch["cats"]):
-                if s != session:
-                    session, last = s, GENESIS
-                last = hmac.new(secret_bytes, f"{last}:{ts}:{kind}:{cats}".encode(), hashlib.sha256).hexdigest()
-                hashes.append(last)
-            yield pd.DataFrame({"session": batch["session"], "seq": batch["seq"], "ts": batch["ts"],
-                                "event_type": batch["event_type"], "cats": batch["cats"], "chain_hash": hashes})
 
-    ordered = rows.select("session", "seq", "ts", "event_type", "cats").repartition("session").sortWithinPartitions("session", "seq")
-    return ordered.mapInPandas(run, schema)
+def with_segment(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    return rows.withColumn("segment", F.floor(F.col("seq") / segment).cast("bigint"))
+
+
+def chain(audit: DataFrame, secret: str, segment: int = SEGMENT) -> DataFrame:
+    """Tamper-evident chain per session: each hash covers the one before, time, type and categories.
+
+    Entry n needs hash n-1, so a chain cannot be cut for parallel work.  Sessions run side by side, and a
+    session of any length is laid out in segments of ``segment`` sequence numbers, each with its own keyed
+    start; ``seal`` chains the segments.  Sessions within one segment have the plain chain.
+    """
+    rows = with_segment(audit.withColumn("cats", category_json()), segment)
+    return _chained(rows, "session string, segment bigint, seq bigint, ts bigint, event_type string, cats string",
+                    lambda last, r: f"{last}:{r.ts}:{r.event_type}:{r.cats}", GENESIS, _hmac_digest(secret))
+
+
+def seal(chained: DataFrame, secret: str) -> DataFrame:
+    """Chain over the last hash and the size of each segment: a lost or shortened segment shows."""
+    ends = chained.groupBy("session", F.col("segment").alias("__s")).agg(
+        F.max_by("chain_hash", "seq").alias("last"), F.count(F.lit(1)).alias("n"))
+    rows = ends.select("session", F.lit(0).cast("bigint").alias("segment"), F.col("__s").alias("seq"),
+                       F.concat_ws(":", "last", F.col("n").cast("string")).alias("data"))
+    return _chained(rows, "session string, segment bigint, seq bigint, data string",
+                    lambda last, r: f"{last}:{r.data}", GENESIS, _hmac_digest(secret)).drop("segment")
 
 
 def verify_chain(chained: DataFrame, secret: str) -> DataFrame:
-    """Per session: entries checked, valid, and the first broken entry.  Every row is checked on its own against
-    the hash stored before it, so this part is fully parallel."""
-    before = F.lag("chain_hash", 1, GENESIS).over(W.partitionBy("session").orderBy("seq"))
+    """Per session: entries checked, valid, and the first broken entry.
+
+    Every row is checked on its own against the hash stored before it, so this is parallel within segments too.
+    """
+    start = F.when(F.col("segment") == 0, F.lit(GENESIS)).otherwise(hmac_hex(secret, F.concat(F.lit(GENESIS + ":"), F.col("segment").cast("string"))))
+    before = F.coalesce(F.lag("chain_hash").over(W.partitionBy("session", "segment").orderBy("seq")), start)
     rows = chained.withColumn("__before", before)
     bad = hmac_hex(secret, chain_payload(F.col("__before"))) != F.col("chain_hash")
     return rows.groupBy("session").agg(
         F.count(F.lit(1)).alias("entries_checked"), (F.count_if(bad) == 0).alias("valid"), F.min(F.when(bad, F.col("seq"))).alias("first_bad"))
 
 
-def request_chain(requests: DataFrame) -> DataFrame:
+def request_chain(requests: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Second, unkeyed chain of 16 hex digits over request data (session, seq, data)."""
-    schema = "session string, seq bigint, data string, chain_hash string"
-
-    def run(batches):
+    def digest(text: str) -> str:
         import hashlib
 
-        session, last = None, REQUEST_GENESIS
-        for batch in batches:
-            hashes = []
-            for s, data in zip(batch["session"], batch["data"]):
-                if s != session:
-                    session, last = s, REQUEST_GENESIS
-                last = hashlib.sha256((last + data).encode()).hexdigest()[:16]
-                hashes.append(last)
-            yield batch.assign(chain_hash=hashes)
+        return hashlib.sha256(text.encode()).hexdigest()[:16]
 
-    return requests.select("session", "seq", "data").repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, schema)
+    return _chained(with_segment(requests, segment), "session string, segment bigint, seq bigint, data string",
+                    lambda last, r: last + r.data, REQUEST_GENESIS, digest)
 
 
 def rule_hits(entities: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veilframe.operators.detect import expand_matches, sweep
 
-GRAM = 6  # code points of a literal that are joined on before it is compared whole
+GRAM = 6  # code points of a literal that a text position is tested on first
 BROADCAST_LITERALS = 200_000  # dictionaries up to this many rows and ...
 BROADCAST_BYTES = 32 << 20  # ... this many bytes of text are broadcast
-FILTER_BUCKETS = 1 << 20  # rows of the broadcast pre-filter for larger dictionaries
+BUCKETS = 1 << 20  # upper bound on the rows of the broadcast position test for larger dictionaries
 
 
 def match_literals(docs: DataFrame, literals: DataFrame, by: tuple[str, ...] = (), keep: tuple[str, ...] = (),
@@ -17,42 +17,39 @@ def match_literals(docs: DataFrame, literals: DataFrame, by: tuple[str, ...] = (
     """Leftmost-longest, non-overlapping hits of a literal dictionary, wherever a literal stands in a text.
 
     ``docs`` has doc_id, text, the ``by`` and the ``keep`` columns; ``literals`` has ``literal``, the
-    ``by`` columns and a payload.  Every text position is joined on the six code points that follow it
-    (shorter literals on their own length) and the candidate compared whole.  A dictionary of checked
-    size is broadcast, so texts stay where they are.  A larger one first thins the positions through a
-    broadcast table of hash buckets, whose size is fixed, and only survivors are shuffled, with as much
-    text as the longest literal needs.
+    ``by`` columns and a payload.  The six code points after every text position (fewer for shorter
+    literals) are looked up in a broadcast table that gives the lengths of the literals which start so;
+    each length yields one candidate, and candidates meet the dictionary by equality.  So a position never
+    meets more rows than there are lengths, however many literals share a beginning.  The position test is
+    exact for dictionaries of checked size; for larger ones it works on hash buckets, whose number is
+    fixed, and the dictionary is joined by a shuffle of the candidates.
     """
     by, keep = list(by), list(keep)
     payload = [c for c in literals.columns if c not in by and c != "literal"]
-    lits = literals.filter(F.length("literal") > 0).withColumn("__k", F.least(F.length("literal"), F.lit(GRAM)))
-    lits = lits.withColumn("__gram", F.substring("literal", F.lit(1), F.col("__k")))
-    stats = lits.agg(F.count(F.lit(1)), F.sum(F.octet_length("literal")), F.max(F.length("literal")),
-                     F.collect_set("__k")).first()
-    count, size, longest, grams = stats[0], stats[1] or 0, stats[2] or 1, sorted(stats[3])
-    if not count:
-        schema_rows = docs.select("doc_id", *by, *keep).limit(0)
-        empty = lits.select("literal", *payload).limit(0)
-        return schema_rows.crossJoin(empty).select("doc_id", *by, *keep, F.col("literal").alias("value"), F.lit(0).alias("start"), F.lit(0).alias("end"), *payload)
+    lits = literals.filter(F.length("literal") > 0)
+    k_of = F.least(F.length("literal"), F.lit(GRAM))
+    stats = lits.agg(F.count(F.lit(1)), F.sum(F.octet_length("literal")), F.collect_set(k_of)).first()
+    count, size, grams = stats[0], stats[1] or 0, sorted(stats[2]) or [GRAM]
     small = count <= BROADCAST_LITERALS and size <= BROADCAST_BYTES
-    found = None
+
+    def place(gram: Column) -> Column:
+        key = F.concat_ws("\0", *[F.col(c).cast("string") for c in by], gram)
+        return key if small else F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+    candidates = None
     for k in grams:
-        mine = lits.filter(F.col("__k") == k).drop("__k")
+        mine = lits.filter(k_of == k).select(place(F.substring("literal", 1, k)).alias("__place"), F.length("literal").alias("__n"))
+        lengths = F.broadcast(mine.groupBy("__place").agg(F.collect_set("__n").alias("__lengths")))
         # one match per code point: look ahead k characters, consume one
         windows = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
-        positions = docs.select("doc_id", *by, *keep, "text", F.posexplode_outer(windows).alias("start", "__gram"))
-        if small:
-            hits = positions.join(F.broadcast(mine), [*by, "__gram"])
-            hits = hits.filter(F.substring("text", F.col("start") + 1, F.length("literal")) == F.col("literal"))
-        else:
-            bucket = F.pmod(F.xxhash64("__gram"), F.lit(FILTER_BUCKETS)).cast("int")
-            filter_rows = mine.select(bucket.alias("__b")).distinct()
-            kept = positions.withColumn("__b", bucket).join(F.broadcast(filter_rows), "__b", "left_semi")
-            kept = kept.select("doc_id", *by, *keep, "start", "__gram", F.substring("text", F.col("start") + 1, F.lit(longest)).alias("__window"))
-            hits = kept.join(mine, [*by, "__gram"]).filter(F.expr("startswith(__window, literal)"))
-        hits = hits.select("doc_id", *by, *keep, F.col("literal").alias("value"), F.col("start").cast("int").alias("start"),
-                           (F.col("start") + F.length("literal")).cast("int").alias("end"), *payload)
-        found = hits if found is None else found.unionByName(hits)
+        positions = docs.select("doc_id", *by, *keep, "text", F.posexplode_outer(windows).alias("__pos", "__gram"))
+        met = positions.withColumn("__place", place(F.col("__gram"))).join(lengths, "__place")
+        met = met.select("doc_id", *by, *keep, "text", "__pos", F.explode("__lengths").alias("__n")).select(
+            "doc_id", *by, *keep, F.col("__pos").cast("int").alias("start"), F.substring("text", F.col("__pos") + 1, F.col("__n")).alias("literal"))
+        candidates = met if candidates is None else candidates.unionByName(met)
+    found = candidates.join(F.broadcast(lits) if small else lits, [*by, "literal"])
+    found = found.select("doc_id", *by, *keep, F.col("literal").alias("value"), "start",
+                         (F.col("start") + F.length("literal")).cast("int").alias("end"), *payload)
     if condition is not None:
         found = found.filter(condition)
     return sweep(found.repartition("doc_id"), [-F.col("end")])

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+
 from veilframe.functions.ip import int_to_ip, ip_to_int, network_of, valid_ipv4
+from veilframe.operators.ranks import running_total
 
 # The carrier-grade block that holds fakes, and the reserved block for what does not fit.
 POOL_BASE, POOL_SIZE = 100 * 2**24 + 64 * 2**16, 2**22
 SPILL_BASE, SPILL_SIZE = 240 * 2**24, 2**28
 MIN_PREFIX, MAX_PREFIX, DEFAULT_PREFIX = 8, 30, 24
+WINDOW_ROWS = 1_000_000  # subnets that one sort per tenant may hold; more are summed range by range
 
 QUAD = r"(?<!\w)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 CIDR = QUAD + r"/(\d{1,2})(?!\w)"
@@ -82,17 +85,24 @@ def allocate_subnets(subnets: DataFrame, existing: DataFrame | None = None) -> D
         fresh = fresh.join(ends, "tenant", "left")
         used_pool, used_spill = F.coalesce("__pool", F.lit(0)), F.coalesce("__spill", F.lit(0))
     size = F.pow(F.lit(2), F.lit(32) - F.col("prefix_len")).cast("bigint")
-    fresh = fresh.withColumns({"size": size, "__large": F.col("prefix_len") < 10})
-
-    def offset(used: Column, *keys: str) -> Column:
-        w = W.partitionBy("tenant", *keys).orderBy("prefix_len", "real_net")
-        largest = F.max("size").over(W.partitionBy("tenant", *keys))
-        start = F.ceil(used / largest).cast("bigint") * largest  # align past earlier allocations
-        return start + F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-
-    fresh = fresh.withColumn("__at", offset(used_pool, "__large"))
+    fresh = fresh.withColumns({"size": size, "__large": F.col("prefix_len") < 10, "__pool0": used_pool, "__spill0": used_spill})
+    many = fresh.count() > WINDOW_ROWS
+
+    def offset(rows: DataFrame, used: str, key: str, out: str) -> DataFrame:
+        order = [F.col("prefix_len"), F.col("real_net")]
+        largest = rows.groupBy("tenant", key).agg(F.max("size").alias("__largest"))
+        rows = rows.join(largest, ["tenant", key])
+        if many:
+            rows = running_total(rows, ["tenant", key], order, F.col("size"), out)
+        else:
+            w = W.partitionBy("tenant", key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+            rows = rows.withColumn(out, F.coalesce(F.sum("size").over(w), F.lit(0)))
+        start = F.ceil(F.col(used) / F.col("__largest")).cast("bigint") * F.col("__largest")  # align past earlier allocations
+        return rows.withColumn(out, F.col(out) + start).drop("__largest")
+
+    fresh = offset(fresh, "__pool0", "__large", "__at")
     fresh = fresh.withColumn("__spilled", F.col("__large") | (F.col("__at") + F.col("size") > POOL_SIZE))
-    fresh = fresh.withColumn("__at2", offset(used_spill, "__spilled"))
+    fresh = offset(fresh, "__spill0", "__spilled", "__at2")
     too_far = F.col("__at2") + F.col("size") > SPILL_SIZE
     fake = F.when(~F.col("__spilled"), F.lit(POOL_BASE) + F.col("__at")).when(
         too_far, F.raise_error(F.lit("address space for fake subnets is used up"))).otherwise(F.lit(SPILL_BASE) + F.col("__at2"))
