@@ -42,8 +42,9 @@ HOSTNAME_LINE = r"(?i)(?:^|\n)\s*(?:hostname|switchname)\s+(\S+)"
 
 
 def keyword_score(text: str) -> str:
-    low = f"lower({text})"
-    return "(" + " + ".join(f"cast(contains({low}, {sql_text(k)}) as int)" for k in CONFIG_KEYWORDS) + ")"
+    """Number of configuration words in a text; the lambda lowers the text once for all of them."""
+    score = " + ".join(f"cast(contains(t, {sql_text(k)}) as int)" for k in CONFIG_KEYWORDS)
+    return f"transform(array(lower({text})), t -> {score})[0]"
 
 
 def paragraph_blocks(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
@@ -89,20 +90,22 @@ def boost_proximity(entities: DataFrame) -> DataFrame:
     their ends below start - 200; the difference is the number within reach.
     """
     cats = sorted({c for group in CLUSTER_GROUPS for c in group})
-    points = F.array(
-        F.struct(F.col("start").alias("pos"), F.lit(0).alias("ask"), F.lit("start").alias("kind")),
-        F.struct(F.col("end").alias("pos"), F.lit(0).alias("ask"), F.lit("end").alias("kind")),
-        F.struct((F.col("end") + PROXIMITY_WINDOW).alias("pos"), F.lit(1).alias("ask"), F.lit("start").alias("kind")),
-        F.struct((F.col("start") - PROXIMITY_WINDOW - 1).alias("pos"), F.lit(1).alias("ask"), F.lit("end").alias("kind")))
-    lone = entities.filter(~F.col("category").isin(*cats))
-    rows = entities.filter(F.col("category").isin(*cats)).withColumn("p", F.explode(points))
+
+    def point(pos, ask: int, kind: str):
+        return F.struct(pos.cast("int").alias("pos"), F.lit(ask).alias("ask"), F.lit(kind).alias("kind"))
+
+    start, end = F.col("start"), F.col("end")
+    points = F.array(point(start, 0, "start"), point(end, 0, "end"), point(end + PROXIMITY_WINDOW, 1, "start"),
+                     point(start - PROXIMITY_WINDOW - 1, 1, "end"))
+    points = F.when(F.col("category").isin(*cats), points).otherwise(F.array(point(start, 1, "alone")))
+    rows = entities.repartition("doc_id").withColumn("p", F.explode_outer(points))  # one exchange serves all steps by text
     running = W.partitionBy("doc_id", "p.kind").orderBy("p.pos", "p.ask").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumns({f"__n_{c}": F.count_if((F.col("p.ask") == 0) & (F.col("category") == c)).over(running) for c in cats})
-    near = F.expr("case category " + " ".join(f"when '{c}' then " + " + ".join(f"__n_{p}" for p in peers_of(c)) for c in cats) + " end")
+    near = F.expr("case category " + " ".join(f"when '{c}' then " + " + ".join(f"__n_{p}" for p in peers_of(c)) for c in cats) + " else 0 end")
     near = F.when(F.col("p.kind") == "start", near).otherwise(-near)
     counted = rows.filter("p.ask = 1").groupBy(*entities.columns).agg(F.sum(near).alias("__near"))
     boosted = F.when(F.col("__near") > 0, F.least(F.lit(1.0), F.col("confidence") + PROXIMITY_BOOST * F.col("__near"))).otherwise(F.col("confidence"))
-    return counted.withColumn("confidence", boosted).select(*entities.columns).unionByName(lone)
+    return counted.withColumn("confidence", boosted).select(*entities.columns)
 
 
 def decay_common(entities: DataFrame) -> DataFrame:

@@ -59,21 +59,21 @@ def mint(values: DataFrame, keys: Keys, known_subnets: DataFrame | None = None,
         values = values.withColumns({c: F.lit(None).cast("bigint") for c in ("ip", "real_net", "fake_net")})
     if "first_seen" not in values.columns:
         values = values.withColumn("first_seen", F.lit(0).cast("bigint"))
-    return _fakes(with_seed(values, keys), lambda names: fake_sql(keys, names, custom), categories), subnets
+    return _fakes(with_seed(values, keys), lambda names: fake_sql(keys, names, custom), categories, custom), subnets
 
 
 CASE_WIDTH = 8  # categories per generated projection; wider ones exceed what the JVM compiles into one method
 
 
-def _fakes(seeded: DataFrame, expression: Callable[[list[str] | None], str], categories: list[str] | None) -> DataFrame:
+def _fakes(seeded: DataFrame, expression: Callable[[list[str]], str], categories: list[str] | None, custom: dict[str, str] | None) -> DataFrame:
     """Apply the stand-in expressions in groups of categories: each group filters its own values."""
-    known = list(GENERATORS)
+    known = list(dict.fromkeys([*GENERATORS, *(custom or {})]))
     wanted = [c for c in known if categories is None or c in categories]
     groups = [wanted[i:i + CASE_WIDTH] for i in range(0, len(wanted), CASE_WIDTH)]
     rest = seeded.filter(~F.col("category").isin(*known)) if categories is None or set(categories) - set(known) else None
     parts = [(seeded.filter(F.col("category").isin(*g)), g) for g in groups] + ([(rest, [])] if rest is not None else [])
     out = None
-    for part, names in parts:
+    for part, names in parts or [(seeded, [])]:
         one = part.select("tenant", F.col("value").alias("real"), F.expr(expression(names)).alias("fake"), "category", "seed", "first_seen")
         out = one if out is None else out.unionByName(one)
     return out
@@ -122,7 +122,7 @@ def _try_again(lost: DataFrame, keys: Keys, attempt: int, custom: dict[str, str]
     seeded = seeded.withColumns({c: F.lit(None).cast("bigint") for c in ("ip", "real_net", "fake_net")})
     if attempt <= REMINT_ROUNDS:
         return _fakes(seeded, lambda names: f"case when {v4} then {bumped} else {fake_sql(keys, names, custom)} end",
-                      [r[0] for r in lost.select("category").distinct().collect()])  # a closed list
+                      [r[0] for r in lost.select("category").distinct().collect()], custom)  # a closed list
     n = 12 * 2 ** (attempt - REMINT_ROUNDS - 1)
     longer = f"case when old rlike '^[0-9]+$' then concat(old, substring(d, 1, {n})) else concat(old, '-', substring(h, 1, {n})) end"
     return seeded.select("tenant", F.col("value").alias("real"), F.expr(longer).alias("fake"), "category", "seed", "first_seen")

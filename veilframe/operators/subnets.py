@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-
 from veilframe.functions.ip import int_to_ip, ip_to_int, network_of, valid_ipv4
 from veilframe.operators.ranks import running_total
+from veilframe.session import materialize
 
 # The carrier-grade block that holds fakes, and the reserved block for what does not fit.
 POOL_BASE, POOL_SIZE = 100 * 2**24 + 64 * 2**16, 2**22
@@ -74,7 +74,7 @@ def allocate_subnets(subnets: DataFrame, existing: DataFrame | None = None) -> D
     bounds a tenant's table, and what would exceed it is an error.  With ``existing`` allocations the new
     blocks start after the last used address.
     """
-    fresh = subnets.select("tenant", "real_net", "prefix_len").distinct()
+    fresh = materialize(subnets.select("tenant", "real_net", "prefix_len").distinct(), "nets")
     used_pool, used_spill = F.lit(0), F.lit(0)
     if existing is not None:
         fresh = fresh.join(existing, ["tenant", "real_net", "prefix_len"], "left_anti")
@@ -90,13 +90,14 @@ def allocate_subnets(subnets: DataFrame, existing: DataFrame | None = None) -> D
 
     def offset(rows: DataFrame, used: str, key: str, out: str) -> DataFrame:
         order = [F.col("prefix_len"), F.col("real_net")]
-        largest = rows.groupBy("tenant", key).agg(F.max("size").alias("__largest"))
-        rows = rows.join(largest, ["tenant", key])
         if many:
+            rows = rows.join(rows.groupBy("tenant", key).agg(F.max("size").alias("__largest")), ["tenant", key])
             rows = running_total(rows, ["tenant", key], order, F.col("size"), out)
         else:
-            w = W.partitionBy("tenant", key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-            rows = rows.withColumn(out, F.coalesce(F.sum("size").over(w), F.lit(0)))
+            w = W.partitionBy("tenant", key).orderBy(*order)
+            rows = rows.withColumns({
+                out: F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+                "__largest": F.first("size").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})  # largest first
         start = F.ceil(F.col(used) / F.col("__largest")).cast("bigint") * F.col("__largest")  # align past earlier allocations
         return rows.withColumn(out, F.col(out) + start).drop("__largest")
 
