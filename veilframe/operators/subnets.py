@@ -30,17 +30,17 @@ def mask_length(mask: Column) -> Column:
 
 def learn_subnets(docs: DataFrame) -> DataFrame:
     """Known subnets (tenant, real_net, prefix_len) from ``a.b.c.d/len`` and address-mask pairs."""
-    def pairs(pattern: str) -> Column:
-        return F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("ip"),
-                            F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("x"))
-
-    dotted = docs.filter(F.col("text").rlike(r"\d\.\d"))
-    cidr = dotted.filter(F.col("text").rlike(r"\d/\d")).select("tenant", F.inline_outer(pairs(CIDR))).withColumn(
-        "prefix_len", F.col("x").cast("int"))
-    masked = dotted.filter(F.col("text").rlike(ADDRESS_MASK)).select("tenant", F.inline_outer(pairs(ADDRESS_MASK))).withColumn(
-        "prefix_len", F.when(valid_ipv4(F.col("x")), mask_length(F.col("x"))).cast("int"))
+    def pairs(pattern: str, likely: str, kind: int) -> Column:
+        found = F.zip_with(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)),
+                           lambda ip, x: F.struct(ip.alias("ip"), x.alias("x"), F.lit(kind).alias("kind")))
+        return F.when(F.col("text").rlike(likely), found).otherwise(F.array().cast("array<struct<ip:string,x:string,kind:int>>"))
+
+    both = F.concat(pairs(CIDR, r"\d/\d", 0), pairs(ADDRESS_MASK, r"\d\s+(?:(?:net)?mask\s+)?(?:255|0)\.", 1))
+    rows = docs.filter(F.col("text").rlike(r"\d\.\d")).select("tenant", F.inline_outer(both)).filter("ip is not null")
+    length = F.when(F.col("kind") == 0, F.col("x").try_cast("int")).when(valid_ipv4(F.col("x")), mask_length(F.col("x")))
     return (
-        cidr.unionByName(masked).filter(valid_ipv4(F.col("ip")) & F.col("prefix_len").between(MIN_PREFIX, MAX_PREFIX))
+        rows.withColumn("prefix_len", length.cast("int"))
+        .filter(valid_ipv4(F.col("ip")) & F.col("prefix_len").between(MIN_PREFIX, MAX_PREFIX))
         .select("tenant", network_of(ip_to_int(F.col("ip")), F.col("prefix_len")).alias("real_net"), "prefix_len").distinct()
     )
 

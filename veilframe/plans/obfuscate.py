@@ -85,7 +85,7 @@ def detect_all(docs: DataFrame, config: Config, learned: DataFrame | None = None
 
 
 def clean_docs(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", strip_chat_links(F.col("text")))
+    return docs.withColumn("text", F.when(F.col("text").contains("<"), strip_chat_links(F.col("text"))).otherwise(F.col("text")))
 
 
 def obfuscate(docs: DataFrame, config: Config, store: DataFrame | None = None, existing_subnets: DataFrame | None = None,

@@ -54,17 +54,18 @@ def close_blocks(deltas: DataFrame) -> DataFrame:
 
     A block is the deltas of one (stream, kind, key) up to its stop; blocks without a stop are flushed too.
     """
-    w = W.partitionBy("stream_id", "kind", "key").orderBy("seq", F.col("is_stop").cast("int"), "sub")
-    rows = deltas.filter("kind <> 'other'").withColumn("__no", F.coalesce(
-        F.sum(F.col("is_stop").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    stop = F.max("is_stop").over(W.partitionBy("stream_id", "kind", "key", "__no"))
-    rows = rows.withColumn("closed", F.when(stop, "stop").otherwise("end")).filter("not is_stop")
-    block = ["stream_id", "kind", "key", "sub", "__no"]
-    whole = rows.groupBy(*block).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("__whole"),
-        F.min("seq").alias("__first"))
-    return rows.join(whole, block).select(
-        "stream_id", "kind", "key", "sub", "seq", F.when(F.col("seq") == F.col("__first"), F.col("__whole")).otherwise("").alias("text"), "closed")
+    place = ["stream_id", "kind", "key"]
+    w = W.partitionBy(*place).orderBy("seq", F.col("is_stop").cast("int"), "sub")
+    rows = deltas.filter("kind <> 'other'").repartition(*place)  # the windows and the grouping below share this exchange
+    rows = rows.withColumn("__no", F.coalesce(F.sum(F.col("is_stop").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("__stop", F.max("is_stop").over(W.partitionBy(*place, "__no")))
+    blocks = rows.filter("not is_stop").groupBy(*place, "__no", "sub").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("d"), F.max("__stop").alias("__stop"))
+    whole = F.array_join(F.transform("d", lambda x: x["text"]), "")
+    first_has_all = F.transform("d", lambda x, i: F.struct(x["seq"].alias("seq"), F.when(i == 0, F.col("__whole")).otherwise("").alias("text")))
+    return blocks.withColumn("__whole", whole).select(
+        *place, "sub", F.when(F.col("__stop"), "stop").otherwise("end").alias("closed"), F.inline_outer(first_has_all)).select(
+        "stream_id", "kind", "key", "sub", "seq", "text", "closed")
 
 
 def _flush(key: tuple, seqs, subs, texts, closed: str):
