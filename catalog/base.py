@@ -42,6 +42,10 @@ def secret_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(C.docs_of(C.corpus(spark, sf_dir, C.SECRET_SQL, ("part",))))
 
 
+def vendor_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(C.docs_of(C.corpus(spark, sf_dir, C.VENDOR_SQL, ("supplier",))))
+
+
 def all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and all corpora as one table of texts, ids made unique by their source."""
     parts = [(documents, 0), (net_docs, 1), (pii_docs, 2), (secret_docs, 3)]
@@ -56,6 +60,7 @@ D_DOCS = "select doc_id, text from documents where text is not null"
 D_NET = C.NET_SQL
 D_PII = C.PII_SQL
 D_SECRET = C.SECRET_SQL
+D_VENDOR = C.VENDOR_SQL
 D_ALL = f"""select doc_id * 4 as doc_id, text from ({D_DOCS}) union all select doc_id * 4 + 1, text from ({D_NET})
   union all select doc_id * 4 + 2, text from ({D_PII}) union all select doc_id * 4 + 3, text from ({D_SECRET})"""
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import (D_ALL, D_DOCS, D_NET, D_PII, D_SECRET, all_docs, documents, entities_sql, net_docs, parts_sql, pii_docs, plain, q,
-                          query, resolved_sql, secret_docs)
+from catalog.base import (D_ALL, D_DOCS, D_NET, D_PII, D_SECRET, D_VENDOR, all_docs, documents, entities_sql, net_docs, parts_sql, pii_docs, plain, q,
+                          query, resolved_sql, secret_docs, vendor_docs)
 from veilframe.operators import code, context, detect, filters, literals, rules as R
 from veilframe.session import materialize
 
 SOURCES = {
     "core": (all_docs, D_ALL), "keys": (secret_docs, D_SECRET), "web": (secret_docs, D_SECRET), "network": (net_docs, D_NET),
-    "regulated": (pii_docs, D_PII), "vendor": (all_docs, D_ALL), "plant": (secret_docs, D_SECRET), "prose": (secret_docs, D_SECRET),
+    "regulated": (pii_docs, D_PII), "vendor": (vendor_docs, D_VENDOR), "plant": (secret_docs, D_SECRET), "prose": (secret_docs, D_SECRET),
     "health": (pii_docs, D_PII), "finance": (pii_docs, D_PII), "legal": (all_docs, D_ALL), "cloud": (secret_docs, D_SECRET),
 }
 
@@ -83,6 +83,14 @@ def claim_personal(spark, sf_dir):
     return shaped(detect.detect_regex(pii_docs(spark, sf_dir), PII_RULES))
 
 
+VENDOR_RULES = plain(R.family("network", "vendor"))
+
+
+@query("claim_vendor", f"with recursive {entities_sql(D_VENDOR, VENDOR_RULES)} {ENTITY_COLS} ents")
+def claim_vendor(spark, sf_dir):
+    return shaped(detect.detect_regex(vendor_docs(spark, sf_dir), VENDOR_RULES))
+
+
 SECRET_RULES = plain(R.family("core", "keys", "web", "plant", "prose", "cloud"))
 
 

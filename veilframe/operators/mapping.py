@@ -62,7 +62,7 @@ def mint(values: DataFrame, keys: Keys, known_subnets: DataFrame | None = None,
     return _fakes(with_seed(values, keys), lambda names: fake_sql(keys, names, custom), categories, custom), subnets
 
 
-CASE_WIDTH = 8  # categories per generated projection; wider ones exceed what the JVM compiles into one method
+CASE_WIDTH = 4  # categories per generated projection; wider ones exceed what the JVM compiles into one method
 
 
 def _fakes(seeded: DataFrame, expression: Callable[[list[str]], str], categories: list[str] | None, custom: dict[str, str] | None) -> DataFrame:

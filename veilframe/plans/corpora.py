@@ -111,3 +111,26 @@ def _escape_braces(text: str, tables: tuple[str, ...]) -> str:
 
 def docs_of(df: DataFrame, tenant: str = "") -> DataFrame:
     return df.select(F.lit(tenant).alias("tenant"), "doc_id", "text")
+
+# Vendor configuration: one text per supplier with lines of several product families.
+VENDOR_SQL = """
+select s_suppkey as doc_id,
+  concat('set system root-authentication encrypted-password "$6$', substring(md5(cast(s_suppkey as varchar)), 1, 12), '"', chr(10),
+    'set snmp community Pub', cast(s_suppkey as varchar), ' authorization read-only', chr(10),
+    'pre-shared-key ascii-text "psk', cast(s_suppkey as varchar), '"', chr(10),
+    'secret "$9$', substring(md5(concat('j', cast(s_suppkey as varchar))), 1, 16), '"', chr(10),
+    'set interfaces ge-0/0/1 description "to rack ', cast(s_suppkey as varchar), '"', chr(10),
+    'set mgt-config users admin phash ', md5(concat('p', cast(s_suppkey as varchar))), chr(10),
+    'set address srv-', cast(s_suppkey as varchar), ' ip-netmask 10.0.0.1', chr(10),
+    'set zone zone', cast(s_suppkey as varchar), ' network layer3', chr(10),
+    'set rulebase security rules "rule', cast(s_suppkey as varchar), '" action allow', chr(10),
+    'add host name "h', cast(s_suppkey as varchar), '" ip-address 10.1.1.1', chr(10),
+    'add access-rule layer net name "ar', cast(s_suppkey as varchar), '"', chr(10),
+    'username x secret sha512 $6$', substring(md5(concat('a', cast(s_suppkey as varchar))), 1, 8), '$', md5(concat('b', cast(s_suppkey as varchar))), chr(10),
+    'set password ENC ', substring(md5(concat('f', cast(s_suppkey as varchar))), 1, 20), chr(10),
+    'crypto isakmp key isk', cast(s_suppkey as varchar), ' address 10.2.2.2', chr(10),
+    'crypto ipsec transform-set TS', cast(s_suppkey as varchar), ' esp-aes', chr(10),
+    'passphrase pp', cast(s_suppkey as varchar), chr(10), 'auth password ap', cast(s_suppkey as varchar)
+  ) as text
+from supplier
+"""
