@@ -106,7 +106,7 @@ def fix_collisions(minted: DataFrame, keys: Keys, store: DataFrame | None = None
         lost = judged.filter("not free").drop("free")
         if not lost.take(1):
             break
-        todo = _try_again(lost, keys, attempt, custom)
+        todo = materialize(_try_again(lost, keys, attempt, custom), "minted")  # keeps the wide expressions out of the joins
     else:
         raise RuntimeError("stand-ins still collide after the longest suffix")
     out = done[0]
