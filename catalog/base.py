@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veilframe.functions.ip import MASK_PREFIXES
 from veilframe.functions.keyed import Keys, hmac_pads
 from veilframe.operators.detect import as_docs, spread
 from veilframe.operators.rules import Rule
@@ -56,6 +57,14 @@ def all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row frames as one row."""
+    out = rows[0].withColumn("__one", F.lit(1))
+    for row in rows[1:]:
+        out = out.join(row.withColumn("__one", F.lit(1)), "__one")
+    return out.drop("__one")
+
+
 D_DOCS = "select doc_id, text from documents where text is not null"
 D_NET = C.NET_SQL
 D_PII = C.PII_SQL
@@ -100,7 +109,7 @@ def parts_sql(docs: str, rules: list[Rule]) -> str:
     return f"docs as ({docs}), parts as (select *, cast(s + length(value) as bigint) as e from (" + " union all ".join(selects) + ") y where length(value) > 0)"
 
 
-MASK = "(" + " or ".join(f"starts_with(value, '{p}')" for p in __import__("veilframe.functions.ip", fromlist=["x"]).MASK_PREFIXES) + \
+MASK = "(" + " or ".join(f"starts_with(value, '{p}')" for p in MASK_PREFIXES) + \
     " or regexp_matches(value, '^(0|255)([.](0|255)){3}$'))"
 
 

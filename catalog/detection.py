@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import (D_ALL, D_DOCS, D_NET, D_PII, D_SECRET, D_VENDOR, all_docs, documents, entities_sql, net_docs, parts_sql, pii_docs, plain, q,
+from catalog.base import (D_ALL, D_DOCS, D_NET, D_PII, D_SECRET, D_VENDOR, MASK, all_docs, doc_sql, documents, entities_sql, net_docs, parts_sql, pii_docs, plain, q,
                           query, resolved_sql, secret_docs, vendor_docs)
 from veilframe.operators import code, context, detect, filters, literals, rules as R
-from veilframe.session import materialize
 
 SOURCES = {
     "core": (all_docs, D_ALL), "keys": (secret_docs, D_SECRET), "web": (secret_docs, D_SECRET), "network": (net_docs, D_NET),
@@ -99,7 +98,7 @@ def resolve_overlaps(spark, sf_dir):
     return shaped(detect.resolve_overlaps(detect.detect_regex(secret_docs(spark, sf_dir), SECRET_RULES)))
 
 
-@query("doc_filter", f"with {parts_sql(D_SECRET, R.named('email', 'url'))}, j as (select *, " + __import__("catalog.base", fromlist=["x"]).doc_sql()
+@query("doc_filter", f"with {parts_sql(D_SECRET, R.named('email', 'url'))}, j as (select *, " + doc_sql()
        + " as is_doc from parts) select category, is_doc, count(*) as n from j group by category, is_doc")
 def doc_filter(spark, sf_dir):
     from veilframe.operators.examples import is_doc_example
@@ -109,7 +108,7 @@ def doc_filter(spark, sf_dir):
     return m.withColumn("is_doc", is_doc_example("value", "category")).groupBy("category", "is_doc").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mask_filter", f"with {parts_sql(D_NET, R.named('ipv4'))}, j as (select value, " + __import__("catalog.base", fromlist=["x"]).MASK
+@query("mask_filter", f"with {parts_sql(D_NET, R.named('ipv4'))}, j as (select value, " + MASK
        + " as mask from parts) select value, mask, count(*) as n from j group by value, mask")
 def mask_filter(spark, sf_dir):
     from veilframe.functions.ip import is_mask

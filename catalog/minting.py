@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import D_NET, D_PII, KEYS, material_duck, net_docs, parts_sql, pii_docs, q, query, seed_duck
+from catalog.base import D_NET, KEYS, material_duck, net_docs, q, query, seed_duck
 from veilframe.functions import hosts, ip, keyed, text
-from veilframe.operators import detect, fakes as K, mapping as M, rules as R, subnets as S
+from veilframe.operators import fakes as K, mapping as M, subnets as S
 from veilframe.plans import corpora as C
 from veilframe.sources import readers
 

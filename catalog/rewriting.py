@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import (D_DOCS, D_NET, D_PII, KEYS, MASK, all_docs, doc_sql, documents, entities_sql, material_duck, net_docs, parts_sql,
-                          pii_docs, plain, q, query, resolved_sql)
+from catalog.base import (D_DOCS, D_PII, KEYS, all_docs, documents, entities_sql, material_duck, net_docs,
+                          pii_docs, query, resolved_sql, side_by_side)
 from catalog.flagship import CORE, obfuscated_documents, run_core
-from catalog.minting import ALLOC, AREA, CARD, DUCK, IP_INT, KNOWN, LAST, MID, QUADS, dorg
-from veilframe.operators import audit as A, checks, restore as B, rewrite, rules as R, subnets as S
+from catalog.minting import ALLOC, DUCK, IP_INT, QUADS, dorg
+from veilframe.operators import checks, restore as B, rules as R, subnets as S
 from veilframe.plans import corpora as C
-from veilframe.plans.obfuscate import Config, detect_all, obfuscate, process_batch
+from veilframe.plans.obfuscate import Config, obfuscate, process_batch
 from veilframe.session import materialize
 
 RULES = R.named(*CORE)
@@ -62,7 +62,7 @@ def obfuscate_all(spark, sf_dir):
     r = obfuscate(documents(spark, sf_dir), Config(KEYS))
     dup = r.mapping.groupBy("tenant", "fake").count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_stand_ins"))
     one = r.docs.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("text_out").isNull()).alias("lost"))
-    return one.join(dup)
+    return side_by_side(one, dup)
 
 
 def core_out(spark, sf_dir):
@@ -290,4 +290,4 @@ def obfuscate_corpora(spark, sf_dir):
     one = back.join(out.select("doc_id", F.col("text").alias("original")), "doc_id").agg(
         F.count(F.lit(1)).alias("texts"), F.count_if(F.col("text_restored") != F.col("original")).alias("not_restored"))
     dup = r.mapping.groupBy("tenant", "fake").count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_stand_ins"))
-    return one.join(dup)
+    return side_by_side(one, dup)

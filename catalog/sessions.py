@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import D_DOCS, D_PII, KEYS, documents, entities_sql, pii_docs, q, query, resolved_sql
+from catalog.base import D_DOCS, entities_sql, q, query, resolved_sql
 from catalog.flagship import CORE, run_core
 from catalog.rewriting import CORE_OUT
-from veilframe.functions.hosts import PUBLIC_DOMAINS
 from veilframe.functions.keyed import hmac_pads
 from veilframe.operators import audit as A, payload as P, rules as R, urls as U
 from veilframe.plans import corpora as C

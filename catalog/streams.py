@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, query
+from catalog.base import KEYS, query, side_by_side
 from catalog.rewriting import person_mapping
 from veilframe.plans import corpora as C
 from veilframe.session import materialize, shared_dir
@@ -210,4 +210,4 @@ def stream_obfuscate(spark, sf_dir):
     drained(J.streaming_obfuscate(stream, config, folder, lambda df, b: df.write.mode("overwrite").parquet(f"{folder}/out/batch={b}")), "obfuscate")
     texts = spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("text_out") != F.col("text")).alias("with_stand_in"))
     store = spark.read.parquet(f"{folder}/store").agg(F.countDistinct("real").alias("mapped"), F.countDistinct("fake").alias("stand_ins"))
-    return texts.join(store)
+    return side_by_side(texts, store)

@@ -64,11 +64,6 @@ def test_guards_never_hide_a_match(spark, docs_of):
             " description to core", "ntp authentication-key 1 md5 x", "auth sha x priv aes 128 y", "circuit id: AB-1", "LINK TO Acme Corp"]
     texts = [" \n ".join(rng.sample(bits, 6)) for _ in range(60)] + bits
     docs = docs_of(*texts)
-    for rule in R.BUILTIN:
-        pattern = R.java_pattern(rule)
-        plain = docs.filter(F.col("text").rlike(pattern)).count() if R.guard(rule) else None
-        if plain is None:
-            continue
     guarded = detect.raw_matches(docs, R.BUILTIN).select("doc_id", "prio").distinct()
     bare = docs.select("doc_id", F.explode(F.array(*[F.when(F.col("text").rlike(R.java_pattern(r)), F.lit(i)) for i, r in enumerate(R.BUILTIN)])).alias("prio")).filter("prio is not null")
     assert bare.exceptAll(guarded).count() == 0
