@@ -189,10 +189,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sets = materialize(
         rows.filter("n > 0").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bands", "s0", "s1", "s2", "s3"))), "distinct")
     posted = sets.select(F.explode("bands").alias("bucket"), "fp")
-    hubs = materialize(posted.groupBy("bucket").agg(F.min("fp").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m"), "hubs")
-    members = materialize(posted.join(hubs, "bucket"), "members")
+    sizes = materialize(posted.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    members = materialize(posted.join(sizes, "bucket"), "members")
+    degree = materialize(members.groupBy("fp").agg(F.sum("m").alias("degree")), "degree")
+    central = members.select("bucket", "fp").join(degree, "fp").groupBy("bucket").agg(F.max(F.struct("degree", "fp")).alias("hub"))
+    members = members.select("bucket", "fp")
+    hubs = materialize(central.select("bucket", F.col("hub.fp").alias("hub")), "hubs")
     sketch = sets.drop("bands")
-    star = members.filter("fp <> hub").select(F.col("hub").alias("x"), F.col("fp").alias("y")).distinct()
+    star = members.join(hubs, "bucket").filter("fp <> hub").select(F.col("hub").alias("x"), F.col("fp").alias("y")).distinct()
     star = star.join(sketch.alias("a"), F.col("x") == F.col("a.fp")).join(sketch.alias("b"), F.col("y") == F.col("b.fp")).filter(_alike(percent))
     star = materialize(star.select(F.col("x").alias("a"), F.col("y").alias("b")), "star")
     keyed = rows.withColumnRenamed("__key", key)
@@ -200,8 +204,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     classes = components(edges)
     labelled = members.select("bucket", "fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    split = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("main.label").alias("main"))
+    shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    split = shares.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("main.label").alias("main"))
     open_ = materialize(labelled.join(split, "bucket").join(sketch, "fp"), "open")
     a, b = open_.filter("label <> main").alias("a"), open_.alias("b")
     rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & _alike(percent))
