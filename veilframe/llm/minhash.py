@@ -132,7 +132,7 @@ def _sets(width: int):
             lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.StructArray.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), lists], ["fp", "hashes"])
 
-    return shingles
+    return shingles.asNondeterministic()  # else the optimiser makes it a join key and runs it over all texts
 
 
 def _alike(percent: int) -> Column:
