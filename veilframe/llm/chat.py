@@ -61,6 +61,10 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(_role(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _picked(role: str, text: str):
+    return lambda x: _turn(x[role], x[text])
+
+
 def _joined(parts: list[Column]) -> Column:
     return F.concat_ws("\n", *[F.when(p != "", p) for p in parts])
 
@@ -78,7 +82,7 @@ def turns_of_frame(df: DataFrame, columns: list[str], out: str = "turns") -> Dat
     for role, path in layout["turns"]:
         if role == "*":
             array, r, t = path.split(":")
-            return df.withColumn(out, F.coalesce(F.transform(array, lambda x: _turn(x[r], x[t])), F.array().cast(f"array<{TURN}>")))
+            return df.withColumn(out, F.coalesce(F.transform(array, _picked(r, t)), F.array().cast(f"array<{TURN}>")))
         turns.append(_turn(F.lit(role), _joined([F.col(p) for p in path.split("+")]) if "+" in path else F.col(path)))
     return df.withColumn(out, F.array(*turns))
 
@@ -103,7 +107,7 @@ def turns_of_records(df: DataFrame, payload: str, out: str = "turns", fingerprin
             if role == "*":
                 array, r, t = path.split(":")
                 got = F.try_variant_get("__doc", f"$.{array}", f"array<struct<{r}:string,{t}:string>>")
-                made = F.transform(got, lambda x, r=r, t=t: _turn(x[r], x[t]))
+                made = F.transform(got, _picked(r, t))
                 break
             parts = [F.try_variant_get("__doc", f"$.{p}", "string") for p in path.split("+")]
             turns.append(_turn(F.lit(role), _joined(parts) if len(parts) > 1 else parts[0]))

@@ -28,6 +28,8 @@ LENGTH, DECAY, POWER = 3, 0.7, 3
 TOXIC, CLEAN, LONGEST, WINDOW = 96, 48, 14, 24
 #: Weight of a toxic word with an inserted character beside the word itself, in training.
 BENT = 0.25
+#: Clean words nearest to the landmarks that the machine is trained against.
+HARD = 20_000
 #: The kernel counts as zero for pairs whose longest common subsequence is below this share of the landmark.
 OVERLAP = 0.6
 _BLANKS = bytes(32 if b in b"\t\n\r\x0b\x0c" else b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -187,32 +189,34 @@ def fit(rows: list[tuple[bytes, int]], prior: float | None = None, rounds: int =
     """Model from a bounded list of (text, label). ``prior``: share of toxic texts where the model will be used."""
     import numpy as np
 
-    sentences = [([units(s) for s in re.split(rb"[.!?\n]+", t)], y) for t, y in rows]
-    texts = [({w for s in ss for w in map(_text, s) if len(w) >= LENGTH}, [[w for w in map(_text, s) if len(w) >= LENGTH] for s in ss], y) for ss, y in sentences]
-    bad, good = Counter(), Counter()
-    for words, _, y in texts:
-        (bad if y else good).update(words)
-    n1, n0 = sum(y for *_, y in texts), sum(1 - y for *_, y in texts)
-    if not n1 or not n0:
+    number: dict[bytes, int] = {}   # words by number, so that texts are small arrays
+    texts = []
+    for t, y in rows:
+        ss = [np.array([number.setdefault(w, len(number)) for w in units(s)], np.int32) for s in re.split(rb"[.!?\n]+", t)]
+        texts.append(([s for s in ss if len(s)], y))
+    vocabulary = list(map(_text, number))
+    size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+    del number
+    bad, good = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for ss, y in texts:
+        if ss:
+            (bad if y else good)[np.unique(np.concatenate(ss))] += 1
+    n1, n0 = sum(y for _, y in texts), sum(1 - y for _, y in texts)
+    if not n1 or not n0 or not vocabulary:
         return Model([], np.zeros(0, np.float32), 0.0, ((0.0,), (1.0 if n1 else 0.0,)))
-
-    def excess(w):
-        p, q = bad[w] / n1, good[w] / n0
-        m = (bad[w] + good[w] + 1) / (n1 + n0 + 2)
-        return (p - q) / np.sqrt(m * (1 - m) * (1 / n1 + 1 / n0))
-
-    ranked = sorted((w for w in bad if bad[w] >= 3 and 4 <= len(w) <= LONGEST), key=lambda w: (-excess(w), w))
+    middle = (bad + good + 1) / (n1 + n0 + 2)
+    excess = (bad / n1 - good / n0) / np.sqrt(middle * (1 - middle) * (1 / n1 + 1 / n0))
+    usable = (size > LENGTH) & (size <= LONGEST)
     landmarks: list[str] = []
-    for w in ranked[:400]:
-        if len(landmarks) == TOXIC or excess(w) < 3:
+    for i in np.lexsort((vocabulary, -np.where(usable & (bad >= 3), excess, -np.inf)))[:400]:
+        if len(landmarks) == TOXIC or excess[i] < 3 or not usable[i] or bad[i] < 3:
             break
-        if not landmarks or Kernel(landmarks)([w]).max() < 0.8:
-            landmarks.append(w)
+        if not landmarks or Kernel(landmarks)([vocabulary[i]]).max() < 0.8:
+            landmarks.append(vocabulary[i])
     if not landmarks:
         return Model([], np.zeros(0, np.float32), 0.0, ((0.0,), (n1 / (n1 + n0),)))
-    vocabulary = sorted(set(bad) | set(good))
-    at = {w: i for i, w in enumerate(vocabulary)}
-    witness = [at[w] for _, ss, y in texts if y for w in (max(s, key=excess) for s in ss if s) if excess(w) >= 3]
+    first = np.where(size >= LENGTH, excess, -np.inf)
+    witness = [i for ss, y in texts if y for i in (s[first[s].argmax()] for s in ss) if first[i] >= 3]
     model = Model(landmarks, np.zeros(len(landmarks), np.float32), 0.0)
     k = np.zeros((len(vocabulary), 0), np.float32)
     for turn in range(rounds):
@@ -221,24 +225,25 @@ def fit(rows: list[tuple[bytes, int]], prior: float | None = None, rounds: int =
         values, vectors = np.linalg.eigh((among + among.T) / 2)
         root = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T  # Nystroem map
         k = np.hstack([k, Kernel(model.landmarks[k.shape[1]:])(vocabulary)])
-        phi, near = k @ root, k.max(axis=1)
-        clean = np.array([i for w, i in at.items() if good[w] and near[i] > 0] or [0])
-        clean = clean[np.argsort(-near[clean], kind="stable")[:40_000]]
-        seen = Counter(witness)
+        near = k.max(axis=1)
+        clean = np.flatnonzero((good > 0) & (near > 0))
+        clean = clean[np.argsort(-near[clean], kind="stable")[:HARD]]
+        seen = Counter(map(int, witness))
         bent = [v for i in seen for v in _bent(vocabulary[i])]
-        x = np.vstack([phi[list(seen)], kernel(bent) @ root, phi[clean]])
-        weight = np.concatenate([list(seen.values()), np.repeat(list(seen.values()), 2) * BENT, [good[vocabulary[i]] for i in clean]]).astype(float)
+        x = np.vstack([k[list(seen)], kernel(bent), k[clean]]) @ root
+        weight = np.concatenate([list(seen.values()), np.repeat(list(seen.values()), 2) * BENT, good[clean]]).astype(float)
         w, bias = _svm(x, np.concatenate([np.ones(3 * len(seen)), -np.ones(len(clean))]), weight)
         model.weights, model.bias = (root @ w).astype(np.float32), bias
-        f = phi @ w + bias
-        new = [i for _, ss, y in texts if y for i in (max((at[u] for u in s), key=lambda i: (f[i], i)) for s in ss if s) if f[i] > 0 and excess(vocabulary[i]) > 1]
+        f = k @ model.weights + bias
+        new = [i for ss, y in texts if y for i in (s[f[s].argmax()] for s in ss) if f[i] > 0 and excess[i] > 1]
         witness = new or witness
-        if turn < rounds - 1 and len(model.landmarks) < TOXIC + CLEAN:  # clean words that look most toxic become landmarks
-            wrong = sorted((i for i in clean if excess(vocabulary[i]) < 2 and LENGTH < len(vocabulary[i]) <= LONGEST and f[i] > -0.8 and vocabulary[i] not in model.landmarks),
-                           key=lambda i: (-good[vocabulary[i]] * (f[i] + 1), i))
-            model.landmarks = model.landmarks + [vocabulary[i] for i in wrong[:CLEAN // (rounds - 1)]]
-    z = np.array([max((f[at[u]] for u in words), default=model.bias) for words, *_ in texts])
-    y = np.array([y for *_, y in texts])
+        if turn < rounds - 1:  # clean words that look most toxic become landmarks
+            wrong = clean[(excess[clean] < 2) & usable[clean] & (f[clean] > -0.8)]
+            wrong = wrong[np.argsort(-good[wrong] * (f[wrong] + 1), kind="stable")]
+            known = set(model.landmarks)
+            model.landmarks = model.landmarks + [v for v in dict.fromkeys(vocabulary[i] for i in wrong) if v not in known][:CLEAN // (rounds - 1)]
+    z = np.array([f[np.concatenate(ss)].max() if ss else model.bias for ss, _ in texts])
+    y = np.array([y for _, y in texts])
     share = prior if prior and 0 < prior < 1 else n1 / (n1 + n0)
     model.knots = isotonic(z, y, np.where(y > 0, share / n1, (1 - share) / n0) * (n1 + n0))
     return model
