@@ -42,7 +42,7 @@ class Memo(dict):
     ``evaluate`` maps a list of new words to an array with one row per word.
     """
 
-    def __init__(self, evaluate, limit: int = 400_000):
+    def __init__(self, evaluate, limit: int = 200_000):
         super().__init__()
         self.evaluate, self.limit, self.fresh, self.rows = evaluate, limit, [], None
 

@@ -27,7 +27,7 @@ class _WordHash(dict):
     def __missing__(self, word):
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

@@ -120,12 +120,12 @@ class Kernel:
         if len(a):
             live = np.unique(a)
             own = np.zeros(len(strings), np.float32)
-            for i in range(0, len(live), 4000):
-                c = codes[live[i:i + 4000]]
+            for i in range(0, len(live), 1500):
+                c = codes[live[i:i + 1500]]
                 both = (c[:, :, None] == c[:, None, :]) & (c[:, :, None] >= 0)
-                own[live[i:i + 4000]] = np.sqrt(np.maximum(subsequence_kernel(both), 1e-12))
-            for i in range(0, len(a), 20_000):
-                x, y = a[i:i + 20_000], m[i:i + 20_000]
+                own[live[i:i + 1500]] = np.sqrt(np.maximum(subsequence_kernel(both), 1e-12))
+            for i in range(0, len(a), 6000):
+                x, y = a[i:i + 6000], m[i:i + 6000]
                 out[x, y] = subsequence_kernel(codes[x][:, :, None] == self.codes[y][:, None, :]) / (own[x] * self.own[y])
         return out ** POWER
 
@@ -143,8 +143,8 @@ class Kernel:
         owner = np.array(owner)
         order = np.argsort(np.fromiter(map(len, parts), np.int64, len(parts)), kind="stable")
         order = order[np.searchsorted(np.fromiter((len(parts[i]) for i in order), np.int64, len(order)), LENGTH):]
-        for i in range(0, len(order), 8000):
-            at = order[i:i + 8000]
+        for i in range(0, len(order), 4000):
+            at = order[i:i + 4000]
             np.maximum.at(out, owner[at], self._chunk([parts[j] for j in at]))
         return out
 
@@ -156,7 +156,10 @@ def _text(word: bytes) -> str:
 def evaluate(model: Model, kernel: Kernel, words: list[bytes]):
     import numpy as np
 
-    return (kernel(list(map(_text, words))) @ model.weights + model.bias).astype(np.float32)
+    out = np.empty(len(words), np.float32)
+    for i in range(0, len(words), 8000):  # a block of kernel values at a time
+        out[i:i + 8000] = kernel(list(map(_text, words[i:i + 8000]))) @ model.weights + model.bias
+    return out
 
 
 def _svm(x, y, weight, cost: float = 3000.0):
