@@ -120,7 +120,7 @@ def propagate_hostnames(docs: DataFrame, entities: DataFrame) -> DataFrame:
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(HOSTNAME_LINE), F.lit(1)))
     named = docs.filter(low.contains("hostname") | low.contains("switchname")).select("tenant", "doc_id", "text", names.alias("__names"))
     longest_first = F.array_sort("__names", lambda a, b: F.length(b) - F.length(a))
-    quoted = F.transform(longest_first, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E")))
+    quoted = F.transform(longest_first, lambda n: F.concat(F.lit("\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     named = named.filter(F.size("__names") > 0).select("tenant", "doc_id", "text", F.array_join(quoted, "|").alias("pattern"))
     found = expand_matches(named.withColumn("prio", F.lit(0)), [None], [0], pattern_column="pattern")
     added = (found.withColumn("category", F.lit("hostname")).filter(~is_doc_example("value", "category"))

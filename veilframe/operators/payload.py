@@ -50,6 +50,11 @@ def resolve_scope(calls: DataFrame, scope_rules: DataFrame, default: list[str] |
     return out.withColumn("mode", F.when(F.col("scan_fields").isNull(), "all").otherwise("selected")).withColumn("never_fields", nothing)
 
 
+def _is_blocks(text: Column) -> Column:
+    """Whether a text is, as a whole, a JSON array of objects; one that only begins like it is plain text."""
+    return F.ltrim(text).startswith("[") & F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY<OBJECT"), F.lit(False))
+
+
 def explode_messages(payloads: DataFrame, id_col: str = "msg_id", col: str = "payload") -> DataFrame:
     """JSON payloads to text leaves: (id, path, pos, role, text).
 
@@ -66,7 +71,7 @@ def explode_messages(payloads: DataFrame, id_col: str = "msg_id", col: str = "pa
     def message(kind: str) -> Column:
         def one(m: Column, i: Column) -> Column:
             at = F.concat(F.lit(f"{kind}["), i.cast("string"), F.lit("]"))
-            blocks = F.when(F.ltrim(m["content"]).startswith("["), F.from_json(m["content"], f"array<{BLOCK}>"))
+            blocks = F.when(_is_blocks(m["content"]), F.from_json(m["content"], f"array<{BLOCK}>"))
             plain = F.when(blocks.isNull() & m["content"].isNotNull(), F.array(leaf(F.concat(at, F.lit(".content")), i, m["role"], m["content"])))
 
             def block(b: Column, j: Column, name: str) -> Column:
@@ -88,7 +93,7 @@ def explode_messages(payloads: DataFrame, id_col: str = "msg_id", col: str = "pa
 
         return F.coalesce(F.flatten(F.transform(F.col(f"p.{kind}"), one)), nothing)
 
-    system_blocks = F.when(F.ltrim("p.system").startswith("["), F.from_json("p.system", f"array<{BLOCK}>"))
+    system_blocks = F.when(_is_blocks(F.col("p.system")), F.from_json("p.system", f"array<{BLOCK}>"))
     top = F.concat(
         F.array(leaf("system", F.lit(-1), F.lit("system"), F.when(system_blocks.isNull(), F.col("p.system"))),
                 leaf("instructions", F.lit(-1), F.lit("system"), F.col("p.instructions"))),

@@ -8,7 +8,7 @@ from veilframe.functions.ip import compress_ipv6, expand_ipv6
 from veilframe.operators.detect import claim_spans, expand_matches
 from veilframe.operators.literals import match_literals
 from veilframe.operators.mapping import reverse_map
-from veilframe.operators.rewrite import splice
+from veilframe.operators.rewrite import own_ids, own_rows, splice
 from veilframe.operators.subnets import FAKE_ADDRESS, FAKE_RANGE, FAKE_V6, residual_ranges, residual_v4
 
 
@@ -20,7 +20,8 @@ def fake_hits(docs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def restore(docs: DataFrame, mapping: DataFrame, out: str = "text_out") -> DataFrame:
     """Every stand-in by its real value: leftmost, longest first, one pass, so nothing is replaced twice."""
-    return splice(docs, fake_hits(docs, mapping), out)
+    docs, own = own_rows(docs)
+    return own_ids(splice(docs, fake_hits(docs, mapping), out), own)
 
 
 def restore_with_stats(docs: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:

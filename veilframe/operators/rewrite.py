@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from veilframe.functions.text import redact_masked
+from veilframe.session import materialize
 
 # One forward pass: the text between two edits is cut once, whatever their number.
 SPLICE = (
@@ -13,6 +14,25 @@ SPLICE = (
 )
 
 
+def own_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Docs whose ``doc_id`` stands for one row each, and the caller's ids where they did not.
+
+    Ids that repeat (other tenants, equal lines of a file) are replaced by row numbers of a written copy, so that no
+    offset, group or join mixes two texts. The test reads ids only.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs, None
+    rows = materialize(docs.withColumn("__own", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    return rows.drop("__own"), rows.select("doc_id", "__own")
+
+
+def own_ids(df: DataFrame, own: DataFrame | None) -> DataFrame:
+    """The caller's ids in the place of row numbers."""
+    if own is None:
+        return df
+    return df.join(own, "doc_id").withColumn("doc_id", F.col("__own")).select(*df.columns)
+
+
 def splice(docs: DataFrame, edits: DataFrame, out: str = "text_out") -> DataFrame:
     """Replace spans (doc_id, start, end, repl) that do not overlap; texts without edits pass through."""
     per_doc = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "repl"))).alias("__e"))

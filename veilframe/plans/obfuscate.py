@@ -16,7 +16,7 @@ from veilframe.operators.filters import filter_stats, with_drop_reason
 from veilframe.operators.literals import detect_denylist
 from veilframe.operators.mapping import distinct_values, fix_collisions, mint, upsert_store
 from veilframe.operators.restore import fake_hits
-from veilframe.operators.rewrite import replacements, splice
+from veilframe.operators.rewrite import own_ids, own_rows, replacements, splice
 from veilframe.operators.rules import Rule
 from veilframe.operators.subnets import learn_subnets
 from veilframe.session import materialize
@@ -94,14 +94,15 @@ def obfuscate(docs: DataFrame, config: Config, store: DataFrame | None = None, e
 
     The texts are scanned once; entities and distinct values are small tables written to the shared
     folder, so a lost executor costs its own tasks only.  Values already in ``store`` keep their stand-in.
+    Rows that repeat a ``doc_id``, in one tenant or several, are texts of their own.
     """
-    docs = clean_docs(docs)
+    docs, own = own_rows(clean_docs(docs))
     judged = materialize(with_drop_reason(detect_all(docs, config, learned), config.min_confidence, list(config.exempt),
                                           list(config.allowlist), store), "entities")
     kept = judged.filter("drop_reason is null").drop("drop_reason")
     stats = filter_stats(judged)
     if config.dry_run:
-        return Result(docs.withColumn("text_out", F.col("text")), kept, judged, store, existing_subnets, stats)
+        return Result(own_ids(docs.withColumn("text_out", F.col("text")), own), own_ids(kept, own), own_ids(judged, own), store, existing_subnets, stats)
     values = distinct_values(kept)
     if store is not None:
         values = values.join(store.select("tenant", F.col("real").alias("value")), ["tenant", "value"], "left_anti")
@@ -115,7 +116,7 @@ def obfuscate(docs: DataFrame, config: Config, store: DataFrame | None = None, e
     if store is not None:
         mapping = upsert_store(store, mapping)
     replaced = replacements(kept, mapping, config.level)
-    return Result(splice(docs, replaced), replaced, judged, mapping, subnets if subnets is not None else existing_subnets, stats)
+    return Result(own_ids(splice(docs, replaced), own), own_ids(replaced, own), own_ids(judged, own), mapping, subnets if subnets is not None else existing_subnets, stats)
 
 
 def process_batch(ops: DataFrame, config: Config, store: DataFrame | None = None) -> DataFrame:
@@ -123,7 +124,8 @@ def process_batch(ops: DataFrame, config: Config, store: DataFrame | None = None
 
     Restores see the mappings that the same batch minted.
     """
-    docs = ops.select("tenant", F.col("idx").alias("doc_id"), "text", "direction")
+    ops = materialize(ops.withColumn("__row", F.monotonically_increasing_id()), "ops")  # idx repeats between requests
+    docs = ops.select("tenant", F.col("__row").alias("doc_id"), "text", "direction")
     forward = obfuscate(docs.filter("direction = 'obfuscate'").select("tenant", "doc_id", "text"), config, store)
     counts = forward.entities.groupBy("doc_id", "category").count().groupBy("doc_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "count")))).alias("categories"),
@@ -143,4 +145,6 @@ def process_batch(ops: DataFrame, config: Config, store: DataFrame | None = None
         F.col("doc_id").alias("idx"), "direction", F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n"),
         F.lit(None).cast("map<string,bigint>").alias("categories"), F.lit(None).cast("boolean").alias("modified"),
         F.concat(F.lit("Unknown direction: "), "direction").alias("error"))
-    return done.unionByName(back).unionByName(other).orderBy("idx")
+    own = ops.select(F.col("__row").alias("idx"), F.col("idx").alias("__own"))
+    out = done.unionByName(back).unionByName(other)
+    return out.join(own, "idx").withColumn("idx", F.col("__own")).select(*out.columns).orderBy("idx")

@@ -18,13 +18,17 @@ SUBNET_SCHEMA = "tenant string, real_net bigint, prefix_len int, fake_net bigint
 
 
 def stored(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of a table written batch by batch, of batches before a given one."""
-    from py4j.protocol import Py4JJavaError
+    """Rows of a table written batch by batch, of batches before a given one.
+
+    A table that is not there yet is empty; any other failure to read it is an error, never an empty store.
+    """
     from pyspark.errors import AnalysisException
 
     try:
         table = spark.read.schema(schema).parquet(path)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     return table if before is None else table.filter(F.col("batch") < before)
 
