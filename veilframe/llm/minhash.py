@@ -1,15 +1,17 @@
 """Near-duplicate classes: one-permutation MinHash with optimal densification, banded buckets, star edges.
 
-Plan: one scan turns each text into a set size, a 128-bit fingerprint of its shingle set, 48 band keys and a
-256-bit sketch. Equal sets collapse by fingerprint, so copies cost one row. Each bucket links its members to one
-hub only (a star), so a bucket of m texts gives m - 1 candidate pairs. Candidates pass a size and sketch test and
-are then confirmed on full shingle sets. Members of a bucket that end in different classes are compared with that
-bucket's smaller classes, so a star never hides a link between different texts.
+Plan: one scan turns each text into a set size, a 128-bit fingerprint of its shingle set, 48 band keys, a 256-bit
+sketch and a 1024-bit parity map. Equal sets collapse by fingerprint, so copies cost one row. Each bucket links its
+members to one hub only (a star), so a bucket of m texts gives m - 1 candidate pairs. Candidates pass a size, map and
+sketch test and are then confirmed on full shingle sets. Members of a bucket that end in different classes are compared
+with that bucket's smaller classes, so a star never hides a link between different texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,7 +22,10 @@ BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: Sets of at least this size are compared by sketch first; of 256 bits, equal sets share all, sets at 0.8 about 230 +- 5.
 SKETCHED, AGREE = 100, 196
-SIGNATURE = "n long, fp binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+#: 64-bit words of the parity map: each shingle flips one bit, so two maps differ in at most as many bits as the sets in shingles.
+MAP_WORDS = 16
+SKETCH = [*(f"s{i}" for i in range(4)), *(f"p{i}" for i in range(MAP_WORDS))]
+SIGNATURE = "n long, fp binary, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 class _WordHash(dict):
@@ -100,13 +105,15 @@ def _signature(hashes):
 
     fp = xxhash.xxh128_digest(hashes.tobytes())
     if not len(hashes):
-        return 0, fp, [], 0, 0, 0, 0
+        return 0, fp, [], *[0] * len(SKETCH)
     values = one_permutation(hashes)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[i::ROWS])
     bits = np.packbits((_mix(values[:256]) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-    return len(hashes), fp, key.view(np.int64), *bits.tolist()
+    flips = np.bincount((hashes % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    parity = np.packbits(flips.astype(np.uint8)).view(np.int64)
+    return len(hashes), fp, key.view(np.int64), *bits.tolist(), *parity.tolist()
 
 
 def _signatures(width: int):
@@ -114,9 +121,9 @@ def _signatures(width: int):
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [_signature(shingle_set(t.as_py(), width)) for t in batch]
-            n, fp, bands, *bits = zip(*rows) if rows else [()] * 7
+            n, fp, bands, *bits = zip(*rows) if rows else [()] * (3 + len(SKETCH))
             fields = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(b, pa.int64()) for b in bits)]
-            yield pa.StructArray.from_arrays(fields, ["n", "fp", "bands", "s0", "s1", "s2", "s3"])
+            yield pa.StructArray.from_arrays(fields, ["n", "fp", "bands", *SKETCH])
 
     return sign
 
@@ -135,13 +142,21 @@ def _sets(width: int):
     return shingles.asNondeterministic()  # else the optimiser makes it a join key and runs it over all texts
 
 
+def _differing(names: list[str]) -> Column:
+    """Bits in which the two sides differ."""
+    return reduce(add, (F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in names))
+
+
 def _alike(percent: int) -> Column:
-    """Size and sketch test of a candidate pair; no pair at or above the threshold fails the first part."""
-    agree = F.lit(256)
-    for i in range(4):
-        agree = agree - F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}")))
+    """Size, parity map and sketch test of a candidate pair; no pair at or above the threshold fails the first two.
+
+    100 * |A n B| >= percent * |A u B| says that at most (100 - percent) / (100 + percent) of |A| + |B| shingles are in
+    one set only, and the maps differ in no more bits than that.
+    """
     small = F.least("a.n", "b.n")
-    return (100 * small >= percent * F.greatest("a.n", "b.n")) & ((small < SKETCHED) | (agree >= AGREE))
+    sized = 100 * small >= percent * F.greatest("a.n", "b.n")
+    near = (100 + percent) * _differing(SKETCH[4:]) <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+    return sized & near & ((small < SKETCHED) | (256 - _differing(SKETCH[:4]) >= AGREE))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,7 +202,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     signed = slim.withColumn("__s", _signatures(width)("__text")).select("__key", "__s.*")
     rows = materialize(signed, "signatures")
     sets = materialize(
-        rows.filter("n > 0").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bands", "s0", "s1", "s2", "s3"))), "distinct")
+        rows.filter("n > 0").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bands", *SKETCH))), "distinct")
     posted = sets.select(F.explode("bands").alias("bucket"), "fp")
     sizes = materialize(posted.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
     members = materialize(posted.join(sizes, "bucket"), "members")
@@ -208,7 +223,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     split = shares.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("main.label").alias("main"))
     open_ = materialize(labelled.join(split, "bucket").join(sketch, "fp"), "open")
     a, b = open_.filter("label <> main").alias("a"), open_.alias("b")
-    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & _alike(percent))
+    once = (F.col("b.label") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))  # of two smaller classes, from one side
+    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & once & _alike(percent))
     rest = rest.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
     rest = materialize(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = materialize(_confirm(rest, docs, keyed, key, text, percent, width), "links")
