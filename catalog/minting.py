@@ -104,7 +104,8 @@ DSHORT, DMEDIUM = [p for p in K.EMAIL_PREFIXES if len(p) <= 4], [p for p in K.EM
 LUHN = "list_sum(list_transform(range(0, 15), lambda i: case when i % 2 = 0 then case when {x} > 4 then {x} * 2 - 9 else {x} * 2 end else {x} end))".replace(
     "{x}", "cast(substr(d, i + 1, 1) as int)")
 CARD = f"(substr(d, 1, 15) || cast((10 - {LUHN} % 10) % 10 as varchar))"
-AREA, MID, LAST = "cast(200 + seed % 800 as varchar)", "cast(200 + (seed // 800) % 800 as varchar)", d2("seed % 10000", 4)
+AREA, MID = (f"(cast(2 + {dnib(i)} % 8 as varchar) || substr(d, {at}, 2))" for i, at in (("0", 2), ("3", 5)))
+LAST = "substr(d, 7, 4)"
 SEP = "case when contains(value, '-') then '-' when contains(value, '.') then '.' when contains(value, ' ') then ' ' else '' end"
 CC = "case when regexp_matches(value, '^[+]1[^0-9]') or regexp_matches(value, '^[+]1[0-9]{10}$') then '+1' else regexp_extract(value, '^([+][0-9]{1,3})', 1) end"
 MACF = "lpad(printf('%x', (cast('0x' || substr(h, 1, 2) as int) | 2) & 254), 2, '0') || substr(h, 3, 10)"
@@ -132,8 +133,8 @@ def dname(n):
     return f"case when contains(value, ' ') then {f} || ' ' || {la} else {f} end"
 
 
-def axis(k, shift):
-    return f"printf('%.6f', cast([{', '.join(str(a[k]) for a in K.ANCHORS)}][cast(seed % 10 as int) + 1] + (seed >> {shift}) % 400 - 200 as double) / 100.0)"
+def axis(number, most):
+    return f"printf('%.6f', cast(({number}) % {2000 * most + 1} - {1000 * most} as double) / 1000.0)"
 
 
 ROUTE_IN = ", ".join(q(w) for w in K.ROUTE_KEEP)
@@ -141,9 +142,9 @@ HOST_KEPT = ", ".join(q(w) for w in K.ROLE_KEYWORDS + K.TIER_KEYWORDS)
 SIMPLE = f"{pk(K.FAKE_SITES, 'seed // 8')} || '-' || {pk(K.HOSTNAME_ROLES, 'seed')} || '-' || {d2('seed % 99 + 1')}"
 DUCK = {
     "credit_card": f"case when contains(value, '-') then substr({CARD}, 1, 4) || '-' || substr({CARD}, 5, 4) || '-' || substr({CARD}, 9, 4) || '-' || substr({CARD}, 13, 4) else {CARD} end",
-    "ssn": f"{d2('case when seed % 898 + 1 >= 666 then seed % 898 + 2 else seed % 898 + 1 end', 3)} || '-' || {d2('(seed // 898) % 99 + 1')} || '-' || {d2('(seed // 88902) % 9999 + 1', 4)}",
+    "ssn": "'9' || substr(d, 1, 2) || '-' || substr(d, 3, 2) || '-' || substr(d, 5, 4)",
     "phone": f"case when starts_with(value, '+') then concat_ws({SEP}, {CC}, {AREA}, {MID}, {LAST}) when contains(value, '(') then '(' || {AREA} || ') ' || {MID} || '-' || {LAST} when contains(value, ')') then {AREA} || ') ' || {MID} || '-' || {LAST} else concat_ws({SEP}, {AREA}, {MID}, {LAST}) end",
-    "iban": f"upper(substr(value, 1, 2)) || {d2('seed % 98')} || substr({d2('seed', 18)}, 1, 18)",
+    "iban": "upper(substr(value, 1, 2)) || substr(d, 1, greatest(length(replace(value, ' ', '')) - 2, 13))",
     "email": f"case when length({LOCAL}) between 1 and 4 then {dmail(DSHORT)} when length({LOCAL}) > 7 then {dmail(K.EMAIL_PREFIXES)} else {dmail(DMEDIUM)} end || '@' || {dorg(chr(39) + 'acme-' + chr(39) + ' || regexp_extract(value, ' + q('acme-([0-9]+)') + ', 1)')} || '.uk'",
     "mac_address": f"case when contains(value, '.') then substr({MACF}, 1, 4) || '.' || substr({MACF}, 5, 4) || '.' || substr({MACF}, 9, 4) when contains(value, '-') then {dmac('-')} else {dmac(':')} end",
     "bgp_asn": f"case when {ASN} between 64512 and 65534 then {dband(64512, 1023)} when {ASN} between 1000 and 63999 then {dband(1000, 63000)} else cast({ASN} + {SHIFT} % 100000 + 1 as varchar) end",
@@ -151,13 +152,13 @@ DUCK = {
     "ospf_id": "'10.' || cast(seed % 256 as varchar) || '.' || cast((seed // 256) % 256 as varchar) || '.' || cast((seed // 65536) % 256 as varchar)",
     "route_map": f"case when not contains(value, '-') then {pk(K.ROUTE_MAP_NAMES, 'seed')} else array_to_string(list_transform(string_split({ROUTE}, '-'), lambda x, i: case when x in ({ROUTE_IN}) then x else {pk(K.PROVIDERS, 'seed + i - 1')} end), '-') end",
     "acl_name": f"case when contains(value, '_') then array_to_string(list_transform(string_split(upper(value), '_'), lambda x, i: case when {KNOWN_ACL} then x when regexp_matches(x, '^[0-9]+$') then cast(100 + seed % 900 as varchar) else {pk(K.FAKE_PURPOSES, 'seed + i - 1')} end), '_') else 'ACL-' || {pk(K.FAKE_PURPOSES, 'seed + 1')} || '-' || cast(100 + seed % 900 as varchar) end",
-    "vlan_id": f"case when starts_with(value, 'PROD-') then 'PROD-' || {pk(K.VLAN_NAMES, 'seed')} when starts_with(value, 'VRF-') then 'VRF-' || {pk(K.VLAN_NAMES, 'seed')} when contains(value, ',') then array_to_string(list_transform(string_split(value, ','), lambda x, i: cast(100 + seed % 900 + (i - 1) * 10 as varchar)), ',') else cast(100 + seed % 3900 as varchar) end",
+    "vlan_id": f"case when starts_with(value, 'PROD-') then 'PROD-' || {pk(K.VLAN_NAMES, 'seed')} when starts_with(value, 'VRF-') then 'VRF-' || {pk(K.VLAN_NAMES, 'seed')} when contains(value, ',') then array_to_string(list_transform(string_split(value, ','), lambda x, i: cast(2 + seed % 3900 + i - 1 as varchar)), ',') else cast(2 + seed % 3900 as varchar) end",
     "org_name": f"case length(value) - length(replace(value, ' ', '')) when 0 then {pk(K.ORG_PREFIXES, 'seed')} when 1 then {pk(K.ORG_PREFIXES, 'seed')} || ' ' || {pk(K.ORG_SUFFIXES, 'seed // 24')} else {pk(K.ORG_PREFIXES, 'seed')} || ' ' || {pk(K.ORG_PREFIXES, 'seed + 1')} || ' ' || {pk(K.ORG_SUFFIXES, 'seed // 24')} end",
     "location": pk(K.LOCATIONS, "seed"),
     "person_name": f"case {CULTURE} when 'hispanic' then {dname('hispanic')} when 'western' then {dname('western')} end",
     "api_key": "case when starts_with(value, 'sk-') then 'sk-' || substr(h, 1, 32) else 'sk-test-' || substr(h, 1, 32) end",
-    "jwt": "'eyJhbGciOiJSUzI1NiJ9.eyJzdWIiOiJ0ZXN0In0.' || replace(translate(to_base64(unhex(h)), '+/', '-_'), '=', '')",
-    "gps_coordinate": f"{axis(0, 4)} || ', ' || {axis(1, 12)}",
+    "jwt": f"{q(K.JWT_HEAD)} || replace(translate(to_base64(unhex(h)), '+/', '-_'), '=', '')",
+    "gps_coordinate": f"{axis('seed', 60)} || ', ' || {axis('seed // 120001', 180)}",
     "date_of_birth": "strftime(cast(value as date) + cast(30 + seed % 270 as int), '%Y-%m-%d')",
     "medical_record_number": f"case when regexp_matches(value, '^[0-9]{{10}}$') then substr(d, 1, 10) else {DSHAPE} end",
     "bank_account_number": f"case when starts_with(value, 'DEUT') and length(value) = 8 then {pk(K.BANKS, 'seed')} || 'DE' || upper(substr(h, 1, 2)) when contains(value, '-') then substr(d, 1, 2) || '-' || substr(d, 3, 2) || '-' || substr(d, 5, 2) else substr(d, 1, 9) end",
@@ -166,9 +167,9 @@ DUCK = {
     "national_id": f"case when contains(value, ' ') then substr(d, 1, 4) || ' ' || substr(d, 5, 6) else {DSHAPE} end",
     "case_number": "case when contains(value, ':') then substr(d, 1, 1) || ':' || substr(d, 3, 2) || '-cv-' || substr(d, 5, 5) else 'US' || substr(d, 1, 8) || 'B2' end",
     "cryptocurrency_address": f"case when starts_with(value, '0x') then '0x' || substr(h, 1, 40) else 'bc1' || {dpool(K.BECH32, '40')} end",
-    "aws_arn": "case when starts_with(value, 'arn:') then 'arn:aws:iam::' || substr(d, 1, 12) || ':role/res-' || substr(h, 13, 8) else substr(d, 1, 12) end",
+    "aws_arn": "case when starts_with(value, 'arn:') then 'arn:aws:iam::' || substr(d, 1, 12) || ':role/item-' || substr(h, 1, 10) else substr(d, 1, 12) end",
     "custom": "'[REDACTED-custom-' || substr(h, 1, 12) || ']'",
-    "ics_identifier": "case when contains(value, 'opc') then 'opc.tcp://plc-' || substr(d, 1, 4) || '.local:' || cast(4840 + seed % 100 as varchar) || '/' || substr(h, 1, 8) else cast(seed % 247 + 1 as varchar) end",
+    "ics_identifier": "case when contains(value, 'opc') then 'opc.tcp://node-' || substr(h, 1, 6) || '.invalid:4' || substr(d, 7, 3) || '/' || substr(h, 10, 8) else cast(seed % 247 + 1 as varchar) end",
     "network_credential": f"case when starts_with(value, '$9$') then '$9$' || substr(h, 1, 14) || '$' || substr(h, 15, 43) else {DSHAPE} end",
     "hostname": f"case when contains(value, '-') then {dsite(q('AMS'))} || '-CORE-SW-' || {d2('seed % 99 + 1', 3)} else {SIMPLE} end",
     "url": f"'http://api.' || {pk(K.PATH_SEGMENTS, 'seed + 1')} || '.' || {dorg(chr(39) + 'acme-' + chr(39) + ' || regexp_extract(value, ' + q('acme-([0-9]+)') + ', 1)')} || '.com:8080/' || {pk(K.PATH_SEGMENTS, 'seed')} || '/' || {pk(K.PATH_SEGMENTS, 'seed + 1')}",
