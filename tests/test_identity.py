@@ -1,11 +1,15 @@
 """Texts are told apart by row, whatever their ids; payload texts are never lost; odd host names do no harm."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from veilframe.functions.keyed import Keys
 from veilframe.operators.context import propagate_hostnames
 from veilframe.operators.detect import ENTITY_COLUMNS
 from veilframe.operators.payload import explode_messages
+from veilframe.operators import rules as R
 from veilframe.operators.restore import restore
 from veilframe.plans.obfuscate import Config, obfuscate
 
@@ -35,3 +39,13 @@ def test_host_name_with_quote_end(spark):
     docs = spark.createDataFrame([("", 1, "hostname a\\E(b\nsee a\\E(b")], "tenant string, doc_id bigint, text string")
     none = spark.createDataFrame([], "tenant string, doc_id bigint, value string, start int, end int, category string, confidence double, detector string").select(*ENTITY_COLUMNS)
     assert propagate_hostnames(docs, none).count() >= 0
+
+
+def test_long_paths_end_no_job(spark):
+    rule = next(r for r in R.BUILTIN if r.name == "file_path_unix")
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("/\\aabb.-_ C:é/") for _ in range(rnd.randint(8, 60))) for _ in range(3000)] + ["/a" * 60_000 + " x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(F.regexp_extract_all("text", F.lit(R.java_pattern(rule)), F.lit(0))).collect()]
+    assert got == [[m.group() for m in re.finditer(rule.pattern, t, re.ASCII)] for t in texts]
+    assert sum(map(bool, got)) > 50

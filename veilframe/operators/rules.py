@@ -140,8 +140,12 @@ _WORD_ATOM_AFTER = re.compile(r"^(?:\(\?:|\()*(?:[A-Za-z0-9_]|\[[A-Z0-9a-z]|\\[d
 _BUILTIN_PATTERNS = {r.pattern for r in BUILTIN}
 
 
+#: Repeated groups that Java would match by recursion, one level a round, and forms that find the same in a loop.
+_LOOPS = {r"(?:/[\w.\-]+){3,}": r"(?:/[\w.\-]+){3,}+"}
+
+
 def java_pattern(rule: Rule) -> str:
-    """Pattern for Java: ASCII word boundaries and inline flags.
+    """Pattern for Java: ASCII word boundaries, inline flags, and slash-separated paths of any length.
 
     Java's own word boundary counts accented letters as word characters; the look-around form does not.
     """
@@ -157,6 +161,9 @@ def java_pattern(rule: Rule) -> str:
     if (text in _BUILTIN_PATTERNS and text.startswith(r"\b") and "|" not in _top_level(text)
             and _WORD_ATOM_AFTER.match(text[2:])):
         body = r"(?<!\w)" + body[len(BOUNDARY):]  # the first atom is a word character: half the test is enough
+    if text in _BUILTIN_PATTERNS:
+        for group, loop in _LOOPS.items():
+            body = body.replace(group, loop)
     flags = "".join(f for f in "im" if f in rule.flags)
     return (f"(?{flags})" if flags else "") + body
 
