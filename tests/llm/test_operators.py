@@ -167,6 +167,15 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_long_without_letters(spark):
+    docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)], "doc_id long, text string, lang string")
+    texts = ["\u2014" * 134, "\U0001f642" * 100, "\u2500\u2502\n" * 100, "\u2022 12\n" * 100, "\u2026" * 5000, "\u2014" * 5000 + " dog", "\u2014" * 200 + "\u00e9"]
+    ask = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = [(r.lang_pred == "und", r.score == 0, r.accepted) for r in langid.identify(ask, langid.train(docs)).orderBy("doc_id").collect()]
+    assert got[:5] == [(True, True, False)] * 5
+    assert [g[0] for g in got[5:]] == [False, False]
+
+
 def test_kneser_ney_sums_to_one():
     words = [("a", w, 3) for w in (b"abc", b"abd", b"bcd", b"aab")] + [("b", b"ddd", 1)]
     model = langid.fit(words)

@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
                 void = np.isnan(h[:, 0])
                 for i in np.flatnonzero(~void):  # other scripts' marks are no letters; look closely only where no ASCII letter is
                     t = texts[i]
-                    if len(t) < 400 and not re.search(rb"[A-Za-z]", t) and not any(c.isalpha() for c in t.decode("utf-8", "replace")):
+                    if not re.search(rb"[A-Za-z]", t) and not any(c.isalpha() for c in t.decode("utf-8", "replace")):
                         void[i] = True
                 h[void] = 0
                 at = h.argmin(axis=1)
