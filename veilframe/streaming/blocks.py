@@ -83,8 +83,9 @@ def _flush(key: tuple, seqs, subs, texts, closed: str):
 def accumulate(deltas: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """Streaming: hold the deltas of each block until its stop, then emit them with the text on the first.
 
-    Blocks that never stop are flushed with ``closed = 'timeout'`` once the watermark has passed their last
-    delta by ``idle``; a delta that arrives after that opens a new block, so nothing is lost.
+    No delta is late: streams may lag behind each other by any time. Blocks that never stop are flushed with
+    ``closed = 'timeout'`` once the newest event of all streams has moved on by ``idle`` since the micro-batch of
+    their last delta; a delta that arrives after that opens a new block, so nothing is lost.
     """
     import pandas as pd
 
@@ -92,11 +93,15 @@ def accumulate(deltas: DataFrame, idle: str = "10 minutes") -> DataFrame:
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
-            seqs, subs, texts = state.get
-            state.remove()
-            yield _flush(key, seqs, subs, texts, "timeout")
+            seqs, subs, texts, timed = state.get
+            if timed:
+                state.remove()
+                yield _flush(key, seqs, subs, texts, "timeout")
+            else:  # the clock now holds the last delta's micro-batch: the pause counts from here
+                state.update((seqs, subs, texts, True))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max(1, idle_ms))
             return
-        seqs, subs, texts = (list(x) for x in state.get) if state.exists else ([], [], [])
+        seqs, subs, texts = (list(x) for x in state.get[:3]) if state.exists else ([], [], [])
         rows = pd.concat(list(batches)).sort_values(["seq", "is_stop", "sub"], kind="stable")
         for seq, sub, text, stop in zip(rows["seq"], rows["sub"], rows["text"], rows["is_stop"]):
             if stop:
@@ -106,17 +111,16 @@ def accumulate(deltas: DataFrame, idle: str = "10 minutes") -> DataFrame:
             else:
                 seqs.append(int(seq)), subs.append(int(sub)), texts.append(text)
         if seqs:
-            state.update((seqs, subs, texts))
-            last = int(pd.Timestamp(rows["ts"].max()).value // 1_000_000) + idle_ms
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+            state.update((seqs, subs, texts, False))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
         elif state.exists:
             state.remove()
 
-    return (
-        deltas.filter("kind <> 'other'").withWatermark("ts", "0 seconds").groupBy("stream_id", "kind", "key")
-        .applyInPandasWithState(step, BLOCK_COLUMNS, "seqs array<bigint>, subs array<int>, texts array<string>", "append",
-                                GroupStateTimeout.EventTimeTimeout)
-    )
+    # Spark drops rows behind the watermark. So rows that only tell the time move it, and those with text have none.
+    ticks = F.when(F.col("ts").isNull(), F.array(F.col("ts"))).otherwise(F.array(F.lit(None).cast("timestamp"), F.col("ts")))
+    clocked = deltas.filter("kind <> 'other'").withColumn("__clock", F.explode(ticks)).withWatermark("__clock", "0 seconds").filter("__clock is null")
+    return clocked.groupBy("stream_id", "kind", "key").applyInPandasWithState(
+        step, BLOCK_COLUMNS, "seqs array<bigint>, subs array<int>, texts array<string>, timed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def restore_blocks(blocks: DataFrame, mapping: DataFrame, tenant: str = "") -> DataFrame:
