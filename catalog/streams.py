@@ -157,7 +157,10 @@ def stream_timeout(spark, sf_dir):
 def stream_holdback(spark, sf_dir):
     p = pieces(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("stream_id"), F.col("n").cast("bigint").alias("seq"),
                                      F.col("piece").alias("text"), F.col("last").alias("is_stop"))
-    out = collected(B.restore_holdback(as_stream(p, "pieces"), person_mapping(spark, sf_dir)), "holdback")
+    folder = f"{shared_dir(spark).rstrip('/')}/holdback-{uuid.uuid4().hex}"
+    mapping = materialize(person_mapping(spark, sf_dir), "mapping")
+    drained(B.restore_holdback(as_stream(p, "pieces"), lambda: mapping, folder, lambda df, b: df.write.mode("overwrite").parquet(f"{folder}/out/batch={b}")), "holdback")
+    out = spark.read.schema("stream_id string, seq bigint, text string").parquet(f"{folder}/out")
     return out.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
 
 

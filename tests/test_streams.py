@@ -49,3 +49,24 @@ def test_lagging_and_idle_streams(spark, tmp_path):
         [("c", "11:05:00", 1, " C-two"), ("c", "11:05:00", 2, None)],
         [("d", "12:00:00", 0, None)]])
     assert got == [("a", "A-one A-two ", "timeout"), ("b", "B-one B-two", "stop"), ("c", "C-one C-two", "stop"), ("n", "N-one", "stop")]
+
+
+def test_holdback_over_batches_and_many_stand_ins(spark, tmp_path):
+    few = [("", "Al", "Person-1"), ("", "Bo", "Person-12"), ("", "Cy", "-1Q"), ("", "Di", "é🙂Z")]
+    names = spark.createDataFrame(few, "tenant string, real string, fake string")
+    many = spark.range(100_001).select(F.lit("").alias("tenant"), F.concat(F.lit("real"), "id").alias("real"), F.concat(F.lit("fk"), "id", F.lit(";")).alias("fake"))
+    mapping = names.unionByName(many).withColumns({"category": F.lit("x"), "first_seen": F.lit(0)})
+    texts = {"s": "hi Person-12 and Person-1Q, fk100000; Person-", "t": "é🙂Z fk7; é🙂 Person-1"}
+    want = {"s": "hi Bo and AlQ, real100000 Person-", "t": "Di real7 é🙂 Al"}
+    cuts = {s: [(s, i, c, i == len(t) - 1) for i, c in enumerate(t)] for s, t in texts.items()}
+    cuts["t"] += [("t", 100, "Person-", False), ("t", 101, None, True), ("t", 102, "1 fk8", False), ("t", 103, ";", True)]
+    want["t"] += "Person-1 real8"  # no stand-in goes over a stop
+    batches = [cuts["s"][:8] + cuts["t"][:3], cuts["t"][3:9], cuts["s"][8:25], cuts["s"][25:] + cuts["t"][9:]]
+    stream = fed(spark, tmp_path, batches, "stream_id string, seq bigint, text string, is_stop boolean")
+    folder = f"{tmp_path}/hold"
+    writer = B.restore_holdback(stream, lambda: mapping, folder, lambda df, b: df.write.mode("overwrite").parquet(f"{folder}/out/batch={b}"))
+    writer.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for r in sorted(spark.read.parquet(f"{folder}/out").collect(), key=lambda r: (r.stream_id, r.seq)):
+        got[r.stream_id] = got.get(r.stream_id, "") + r.text
+    assert got == want

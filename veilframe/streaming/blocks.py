@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilframe.operators.mapping import reverse_map
-from veilframe.operators.restore import restore
+from veilframe.operators.restore import fake_hits, restore
+from veilframe.operators.rewrite import splice
+from veilframe.session import materialize
 
 BLOCK_COLUMNS = "stream_id string, kind string, key int, sub int, seq bigint, text string, closed string"
-HOLDBACK_LITERALS = 100_000  # stand-ins that a hold-back function may keep in each worker
 
 
 def delta_rows(events: DataFrame, ts: Column | None = None) -> DataFrame:
@@ -161,52 +161,42 @@ def passthrough(events: DataFrame, mapping: DataFrame, tenant: str = "") -> Data
     return restored.unionByName(rows.filter("not whole").select("stream_id", "seq", "n", "text"))
 
 
-def restore_holdback(deltas: DataFrame, mapping: DataFrame, holdback: int | None = None) -> DataFrame:
-    """Streaming: emit text as it comes but keep back as much as the longest stand-in, so none is shown in part.
+def restore_holdback(deltas: DataFrame, mapping: Callable[[], DataFrame], folder: str, sink: Callable[[DataFrame, int], None],
+                     holdback: int | None = None, tenant: str = "") -> DataStreamWriter:
+    """Streamed restore without blocks: text goes out as it comes, but for as much as the longest stand-in, so none is shown in part.
 
-    Deltas are (stream_id, seq, text, is_stop).  The stand-ins live in the workers, which is why their number is
-    checked; larger mappings go through ``restore_stream``.
+    Deltas are (stream_id, seq, text, is_stop); ``sink`` gets (stream_id, seq, text), one row per stream and stop of a
+    micro-batch, with the seq of its last delta. What is held back is written to ``folder``, one ``batch=<id>`` after the
+    other, and a repeated batch overwrites its own. Stand-ins are joined with the texts, so their number is not bounded;
+    ``mapping`` is called per batch.
     """
-    import re
-
-    import pandas as pd
-
-    table = reverse_map(mapping).select("fake", "real").limit(HOLDBACK_LITERALS + 1).collect()
-    if len(table) > HOLDBACK_LITERALS:
-        raise ValueError("too many stand-ins for hold-back; use restore_stream")
-    reals = {r.fake: r.real for r in table}
-    longest = max(map(len, reals), default=0)
-    keep = longest if holdback is None else max(holdback, longest)
-    finder = re.compile("|".join(re.escape(f) for f in sorted(reals, key=len, reverse=True)) or "(?!)")
-
-    def step(key, batches, state: GroupState):
-        held = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out_seq, out_text, ended = [], [], False
-        for seq, text, stop in zip(rows["seq"], rows["text"], rows["is_stop"]):
-            held += text or ""
-            safe = len(held) if stop else max(0, len(held) - keep)
-            done, pieces = 0, []
-            for m in finder.finditer(held):
-                if m.start() >= safe:
-                    break
-                pieces += [held[done:m.start()], reals[m.group()]]
-                done = m.end()
-            if safe > done:
-                pieces.append(held[done:safe])
-                done = safe
-            held, ended = held[done:], bool(stop)
-            if pieces:
-                out_seq.append(int(seq)), out_text.append("".join(pieces))
-        if ended and not held:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((held,))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out_seq), "seq": out_seq, "text": out_text})
-
-    return deltas.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, seq bigint, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, held, key = batch.sparkSession, f"{folder.rstrip('/')}/held", F.struct("stream_id", "part")
+        known = mapping()
+        keep = max(holdback or 0, known.agg(F.max(F.length("fake"))).first()[0] or 0)
+        by_stream = W.partitionBy("stream_id").orderBy("seq", F.col("is_stop").cast("int"))
+        stops = F.coalesce(F.sum(F.col("is_stop").cast("int")).over(by_stream.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "is_stop", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "")
+        new = batch.select("stream_id", "seq", "text", F.coalesce("is_stop", F.lit(False)).alias("is_stop")).withColumn("part", stops).groupBy("stream_id", "part").agg(
+            F.max("seq").alias("seq"), F.max("is_stop").alias("ended"), joined.alias("text"))
+        if batch_id > 0:
+            before = spark.read.schema("stream_id string, text string").parquet(f"{held}/batch={batch_id - 1}")
+            old = before.select("stream_id", F.lit(0).cast("bigint").alias("part"), F.col("text").alias("__held"))
+            new = new.join(old, ["stream_id", "part"], "full").withColumn("text", F.concat(F.coalesce("__held", F.lit("")), F.coalesce("text", F.lit("")))).drop("__held")
+        texts = materialize(new.withColumns({"doc_id": key, "tenant": F.lit(tenant), "ended": F.coalesce("ended", F.lit(False))}), "holdback")
+        safe = F.when(F.col("ended"), F.length("text")).otherwise(F.greatest(F.lit(0), F.length("text") - keep))
+        texts = texts.withColumn("__safe", safe)
+        hits = fake_hits(texts.filter("seq is not null").select("tenant", "doc_id", "text"), known)
+        hits = hits.join(texts.select("doc_id", "__safe"), "doc_id").filter(F.col("start") < F.col("__safe")).select("doc_id", "start", "end", "repl")
+        hits = materialize(hits, "holdback_hits")  # that begin where all their text is there: later text cannot change them
+        last = hits.groupBy("doc_id").agg(F.max("end").alias("__last"))
+        cut = texts.join(last, "doc_id", "left").withColumn("__cut", F.when(F.col("seq").isNull(), 0).otherwise(F.greatest("__safe", F.coalesce("__last", F.lit(0)))))
+        rest = cut.filter("not ended").select("stream_id", F.expr("substring(text, __cut + 1)").alias("text")).filter("text <> ''")
+        rest.write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
+        shown = cut.filter("__cut > 0").select("stream_id", "seq", "doc_id", F.expr("substring(text, 1, __cut)").alias("text"))
+        sink(splice(shown, hits).select("stream_id", "seq", F.col("text_out").alias("text")), batch_id)
+
+    return deltas.writeStream.foreachBatch(run)
 
 
 def frame_chunks(chunks: DataFrame) -> DataFrame:
