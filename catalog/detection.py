@@ -291,6 +291,13 @@ def learned_propagation(spark, sf_dir):
     return context.propagate_learned(docs, learned).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("learned_propagation_all")
+def learned_propagation_all(spark, sf_dir):
+    """All learned values; ``learned_propagation`` and its SQL have those that begin with RM-."""
+    docs, found = session_entities(spark, sf_dir)
+    return context.propagate_learned(docs, context.learn_entities(found)).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def page_docs(spark, sf_dir):
     from veilframe.operators.detect import as_docs, spread
     from veilframe.plans import corpora as C

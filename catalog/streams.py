@@ -139,9 +139,19 @@ def stream_blocks(spark, sf_dir):
 
 @query("stream_timeout", "select cast(conv_id as varchar) as stream_id, count(distinct turn) as blocks from conversations where conv_id % 2 = 0 group by conv_id")
 def stream_timeout(spark, sf_dir):
+    return timed_out(spark, sf_dir, F.col("stream_id").cast("bigint") % 2 == 0)
+
+
+@query("stream_timeout_all", "select cast(conv_id as varchar) as stream_id, count(distinct turn) as blocks from conversations group by conv_id")
+def stream_timeout_all(spark, sf_dir):
+    """All conversations; ``stream_timeout`` and its SQL have the even ones."""
+    return timed_out(spark, sf_dir, F.lit(True))
+
+
+def timed_out(spark, sf_dir, wanted):
     """Blocks without a stop are flushed when the watermark passes; a later event moves it on."""
     base = B.delta_rows(parse_sse(block_bodies(spark, sf_dir)), F.lit("2026-01-01 00:00:00").cast("timestamp"))
-    open_ = base.filter("not is_stop and cast(stream_id as bigint) % 2 = 0 and kind = 'block'")
+    open_ = base.filter(~F.col("is_stop") & (F.col("kind") == "block") & wanted)
     path = f"{shared_dir(spark).rstrip('/')}/open-{uuid.uuid4().hex}"
     open_.write.parquet(path)
     late = open_.limit(1).withColumns({"ts": F.lit("2026-01-02 00:00:00").cast("timestamp"), "stream_id": F.lit("clock")})
