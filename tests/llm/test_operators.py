@@ -74,6 +74,14 @@ def test_dedup_repeated_and_empty(spark):
     assert minhash.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_url_rules_of_any_length(spark):
+    words = ["ab", "cd", "ef", "gh", "ij"]
+    rows = [(words, True)] * 60 + [([w for w in words if w != gone], False) for gone in words for _ in range(50)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    got = [(r.antecedent, r.confidence) for r in urls.mine_rules(labelled).collect()]
+    assert got == [(words, 1.0)]
+
+
 def plain_chat(rows):
     turns = defaultdict(list)
     for r in rows:

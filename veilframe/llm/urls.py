@@ -47,7 +47,7 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return out
 
 
-def mine_rules(labelled: DataFrame, tokens: str = "tokens", bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2, longest: int = 4) -> DataFrame:
+def mine_rules(labelled: DataFrame, tokens: str = "tokens", bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2) -> DataFrame:
     """Rules (antecedent array, confidence, support, lift) that foretell a bad URL. No labelled row: no rule.
 
     Rows without tokens, with a null label, or none of whose tokens is frequent take no part in a rule.
@@ -60,7 +60,7 @@ def mine_rules(labelled: DataFrame, tokens: str = "tokens", bad: str = "bad", mi
     if items.isEmpty():
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift) & (F.size("antecedent") <= longest))
+    found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
     return materialize(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"), "url_rules")
 
 
