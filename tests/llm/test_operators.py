@@ -278,6 +278,15 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.filter("false"), model, {"en": 1}).count() == 0
 
 
+def test_mixing_keeps_unlisted_domains(spark):
+    words = {"en": "the and of ", "de": "der und die ", "it": "il che di "}
+    rows = [(i, words[d] * 5, d) for i, d in enumerate(["en"] * 100 + ["de"] * 60 + ["it"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = mixing.mix(docs, mixing.fit_posteriors(docs), {"en": 0.5, "de": 0.5}).collect()
+    for d in words:
+        assert math.isclose(sum(r.tokens * r.rate for r in out if r.lang == d), 15 * (40 if d == "it" else 80), rel_tol=0.05), d
+
+
 def vectors(spark, rows, name="embedding array<float>"):
     return spark.createDataFrame(rows, f"vec_id long, {name}")
 

@@ -96,8 +96,8 @@ def solve_rates(table: DataFrame, targets: list[float], ridge: float = 1e-4, tol
 def mix(docs: DataFrame, model: Posteriors, weights: dict[str, float], total: float | None = None) -> DataFrame:
     """All columns of ``docs`` plus posterior, tokens, and rate (expected copies, >= 0).
 
-    ``weights``: wanted shares of the model's domains (others 0), made to sum to one; ``total``: wanted tokens, by
-    default as many as there are. A null or empty text has no tokens; its rate follows its posterior and costs nothing.
+    ``weights``: wanted shares of the domains they name, made to sum to one over what the others leave; a domain not
+    named keeps its present share. ``total``: wanted tokens, by default as many as there are. A null or empty text has no tokens; its rate follows its posterior and costs nothing.
     Rows are kept apart even if equal. An empty table gives an empty table.
     """
     return _rated(materialize(model.add(docs), "mix"), model, weights, total)
@@ -111,7 +111,11 @@ def mix_slim(docs: DataFrame, model: Posteriors, weights: dict[str, float], tota
 def _rated(table: DataFrame, model: Posteriors, weights: dict[str, float], total: float | None) -> DataFrame:
     whole = table.agg(F.sum("tokens")).first()[0] or 0
     wish = [max(0.0, weights.get(d, 0.0)) for d in model.domains]
-    goal = [w / (sum(wish) or 1.0) * (whole if total is None else total) for w in wish]
+    free = [i for i, d in enumerate(model.domains) if d not in weights]
+    now = table.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]) for i in free]).first() if free and whole else []
+    share = dict(zip(free, [float(x or 0) / whole for x in now]))
+    left = max(0.0, 1.0 - sum(share.values()))
+    goal = [share.get(i, w / (sum(wish) or 1.0) * left) * (whole if total is None else total) for i, w in enumerate(wish)]
     rate, _ = solve_rates(table, goal)
     return table.withColumn("rate", rate)
 
