@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilframe.llm import chat, langid, minhash, mixing, packing, pivots, quality, threshold, toxicity, urls
+from veilframe.llm import chat, codes, langid, lines, minhash, mixing, packing, phrases, pivots, quality, threshold, toxicity, twins, urls
 from veilframe.llm.common import remainder, table
 
 THRESHOLD = 0.7
@@ -99,6 +99,20 @@ def op10_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
 
+def op11_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(book.digest() if book else "")
+    return codes.with_group_error(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_verdicts(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,5 +121,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_chat_format, op3_url_filter, op4_language_id, op5_quality_fm, op6_mixing, op7_permutation_index,
-    op8_toxicity_ssk, op9_best_fit_packing, op10_threshold_topk, pipeline)}
-ORACLES: dict[str, str] = {}
+    op8_toxicity_ssk, op9_best_fit_packing, op10_threshold_topk, op11_orchard_codes, op12_line_frequency, op13_phrase_mining, pipeline)}
+ORACLES: dict[str, str] = {"op11_orchard_codes": twins.codes_sql(), "op12_line_frequency": twins.LINES, "op13_phrase_mining": twins.PHRASES}
