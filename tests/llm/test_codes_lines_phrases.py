@@ -161,7 +161,7 @@ def odd_texts(rng):
     return rows + [(None, "en"), ("", "fr"), ("   ", "fr"), (None, None), (some(30000), "en"), ("x" * 5000, "de"), ("q " * 9000, "xx")]
 
 
-@pytest.mark.parametrize("block", [8_000_000, 700])
+@pytest.mark.parametrize("block", [4_000_000, 700])
 def test_phrases_equal_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK", block)
     rows = odd_texts(np.random.default_rng(8))

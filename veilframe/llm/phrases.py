@@ -23,7 +23,7 @@ from veilframe.session import materialize
 
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 #: Bytes of text in a block, n-grams in a shard (about), fewest shards.
-BLOCK, SHARD, SHARDS = 8_000_000, 4_000_000, 1024
+BLOCK, SHARD, SHARDS = 4_000_000, 4_000_000, 1024
 #: Capitals become small, ends of pieces a line end, tabs a blank.
 MAP = bytes(b | 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,11 +53,11 @@ def blocks_of(texts):
 
 
 def number_words(block: bytes) -> tuple[list[bytes], np.ndarray]:
-    """(vocabulary, word numbers) of a block; number 0 ends a piece."""
+    """(vocabulary, word numbers) of a block; number 0 ends a piece and is no word."""
     numbers = {b"\n": END, b"": -1}
     found = np.fromiter((numbers.setdefault(w, len(numbers) - 1) for w in block.replace(b"\n", b" \n ").split(b" ")), np.int32)
     words = list(numbers)
-    return [words[0], *words[2:]], found[found >= 0]
+    return [b"", *words[2:]], found[found >= 0]
 
 
 class Fingerprints:
@@ -112,7 +112,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(block, lang, n_words, words, numbers), written once: ids of blocks are fixed by that."""
+    """(block, lang, n_words, words joined by blanks, numbers), written once: ids of blocks are fixed by that."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").cast("binary").alias("text")).filter("length(text) > 0")
 
     def build(records):
@@ -122,7 +122,7 @@ def word_blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             words, numbers = number_words(block)
             return pa.RecordBatch.from_pydict({
                 "lang": [lang], "n_words": pa.array([int((numbers != END).sum())], pa.int64()),
-                "words": pa.array([words], pa.list_(pa.binary())), "numbers": pa.array([numbers.tobytes()], pa.binary())})
+                "words": pa.array([b" ".join(words)], pa.binary()), "numbers": pa.array([numbers.tobytes()], pa.binary())})
 
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
@@ -141,7 +141,7 @@ def word_blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         for lang, texts in held.items():
             yield from (table(lang, b) for b in blocks_of(texts))
 
-    return materialize(rows.mapInArrow(build, "lang string, n_words long, words array<binary>, numbers binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return materialize(rows.mapInArrow(build, "lang string, n_words long, words binary, numbers binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
 def may_be_frequent(blocks: DataFrame, shards: int, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -184,7 +184,7 @@ def read_blocks(records):
     for batch in records:
         for i in range(batch.num_rows):
             get = lambda c: batch.column(c)[i]  # noqa: B023, E731
-            yield get("block").as_py(), get("lang").as_py(), get("words").as_py(), np.frombuffer(get("numbers").as_py(), np.int32)
+            yield get("block").as_py(), get("lang").as_py(), get("words").as_py().split(b" "), np.frombuffer(get("numbers").as_py(), np.int32)
 
 
 def same_words(numbers: np.ndarray, start: np.ndarray, fp: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
         wanted.sort()
         out = []
         for row in left.itertuples():
-            words, numbers = list(row.words), np.frombuffer(row.numbers, np.int32)
+            words, numbers = row.words.split(b" "), np.frombuffer(row.numbers, np.int32)
             prints = Fingerprints(words, numbers, row.lang)
             for n in range(1, longest + 1):
                 start, fp = prints.of(n)
