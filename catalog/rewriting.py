@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import (D_DOCS, D_PII, KEYS, all_docs, documents, entities_sql, material_duck, net_docs,
+from catalog.base import (D_ALL, D_DOCS, D_PII, KEYS, all_docs, documents, entities_sql, material_duck, net_docs,
                           pii_docs, query, resolved_sql, side_by_side)
 from catalog.flagship import CORE, obfuscated_documents, run_core
 from catalog.minting import ALLOC, DUCK, IP_INT, QUADS, dorg
@@ -95,6 +95,43 @@ def roundtrip_check(spark, sf_dir):
     return checks.roundtrip_errors(original, B.restore(out, r.mapping).select("doc_id", F.col("text_out").alias("text")))
 
 
+@query("roundtrip_all", D_ALL)
+def roundtrip_all(spark, sf_dir):
+    """All texts under all rules, context and code detection, and back through the dictionary."""
+    docs = materialize(all_docs(spark, sf_dir), "originals")
+    r = obfuscate(docs, Config(KEYS))
+    out = materialize(r.docs, "texts").select("tenant", "doc_id", F.col("text_out").alias("text"))
+    return B.restore(out, r.mapping).select("doc_id", F.col("text_out").alias("text"))
+
+
+@query("roundtrip_planted", f"select doc_id from ({D_DOCS}) where doc_id % 7 = 3")
+def roundtrip_planted(spark, sf_dir):
+    """Every seventh text is damaged between rewriting and restoring: the check names exactly those."""
+    r, out, original = core_out(spark, sf_dir)
+    damaged = out.withColumn("text", F.when(F.col("doc_id") % 7 == 3, F.concat(F.col("text"), F.lit(" +"))).otherwise(F.col("text")))
+    return checks.roundtrip_errors(original, B.restore(damaged, r.mapping).select("doc_id", F.col("text_out").alias("text")))
+
+
+PLANTED = f"with recursive {entities_sql(D_DOCS, RULES, True)}, {resolved_sql()}"
+
+
+@query("leak_planted", f"{PLANTED} select distinct doc_id, value from resolved where category = 'phone'")
+def leak_planted(spark, sf_dir):
+    """Texts whose phone numbers were left in: the check names every one, and nothing else."""
+    r, out, original = core_out(spark, sf_dir)
+    left = r.entities.filter("category = 'phone'").select("doc_id", "value").distinct()
+    lines = left.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("more"))
+    leaky = out.join(lines, "doc_id", "left").withColumn("text", F.concat_ws("\n", "text", "more")).drop("more")
+    return checks.not_visible(leaky, r.mapping.select("tenant", F.col("real").alias("value"))).select("doc_id", "value")
+
+
+@query("missing_planted", f"{PLANTED} select distinct doc_id, value from resolved")
+def missing_planted(spark, sf_dir):
+    """Texts that were never restored show none of their real values."""
+    r, out, _ = core_out(spark, sf_dir)
+    return checks.missing_values(out, r.entities.select("doc_id", "value").distinct())
+
+
 @query("leak_check", "select doc_id, text as value from documents where false")
 def leak_check(spark, sf_dir):
     r, out, _ = core_out(spark, sf_dir)
@@ -281,6 +318,17 @@ def batch_mixed(spark, sf_dir):
     return out.select("idx", "direction", "n", "modified", "error")
 
 
+@query("batch_restores", f"with recursive {entities_sql(D_PII, R.named('email', 'ssn'))}, c as (select doc_id, count(*) as n from ents group by doc_id) select c.doc_id * 2 + 1 as idx, 'deobfuscate' as direction, d.text, n from c join docs d on d.doc_id = c.doc_id")
+def batch_restores(spark, sf_dir):
+    """A batch that brings texts and, as answers, their rewritten forms: every answer is restored."""
+    config = Config(KEYS, R.named("email", "ssn"), context=False, code=False)
+    docs = materialize(pii_docs(spark, sf_dir), "texts")
+    answers = materialize(obfuscate(docs, config).docs, "answers").select("tenant", "doc_id", F.col("text_out").alias("text"))
+    ops = docs.select("tenant", (F.col("doc_id") * 2).alias("idx"), F.lit("obfuscate").alias("direction"), "text").unionByName(
+        answers.select("tenant", (F.col("doc_id") * 2 + 1).alias("idx"), F.lit("deobfuscate").alias("direction"), "text"))
+    return process_batch(ops, config).filter("direction = 'deobfuscate'").select("idx", "direction", "text", "n")
+
+
 @query("obfuscate_corpora", "select (select count(*) from supplier) + (select count(*) from customer) + (select count(*) from part) + (select count(*) from documents) as texts, cast(0 as bigint) as not_restored, cast(0 as bigint) as duplicate_stand_ins")
 def obfuscate_corpora(spark, sf_dir):
     """Everything at once: all rules, context and code detectors over all corpora, and back."""

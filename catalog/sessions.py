@@ -236,6 +236,25 @@ def reassemble_messages(spark, sf_dir):
     return back.select("msg_id", F.size(parsed).cast("bigint").alias("messages"), F.array_join(F.transform(parsed, lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|").alias("all_text"))
 
 
+def whole_payloads(leaf: str) -> str:
+    """Payloads of every known form with fields that nobody knows; ``leaf`` is the escaped text of each leaf."""
+    return f"""select conv_id * 1000 + turn as msg_id, concat('{{"model": "m-1", "system": [{{"type": "text", "text": "', {leaf}, '", "cache": {{"ttl": 5}}}}], "temperature": 1.50, ',
+  '"messages": [{{"role": "user",  "content": "', {leaf}, '", "name": null}}, {{"role": "user", "content": [{{"type": "tool_result", "tool_use_id": "t1", "content": "', {leaf}, '"}}, ',
+  '{{"type": "image", "source": {{"data": "AAé=="}}}}, {{"type": "text", "text": "', {leaf}, '"}}], "x": []}}, ',
+  '{{"role": "assistant", "content": null, "tool_calls": [{{"id": "c1", "type": "function", "function": {{"name": "f", "arguments": "', {leaf}, '"}}}}]}}], ',
+  '"contents": [ {{"role": "model", "parts": [{{"text": "', {leaf}, '"}}, {{"data": {{}}}}]}} ], "metadata": {{"text": "', e, '", "content": [true, -1e5]}}}}') as payload
+  from (select conv_id, turn, replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')) as e
+    from conversations where text is not null) c"""
+
+
+@query("reassemble_whole", whole_payloads("e || '!'"))
+def reassemble_whole(spark, sf_dir):
+    """Every leaf changed and put back; all other bytes as they were."""
+    whole = C.corpus(spark, sf_dir, whole_payloads("e"), ("conversations",))
+    leaves = P.explode_messages(whole)
+    return P.reassemble_messages(leaves.withColumn("text", F.concat("text", F.lit("!"))), payloads=whole)
+
+
 REQUESTS = """select c_custkey, case when c_custkey % 10 = 0 then concat('{broken', cast(c_custkey as varchar)) when c_custkey % 10 = 1 then '{"method": "obfuscate"}'
   else concat('{"id": "', cast(c_custkey as varchar), '", "method": "batch", "params": {"partition": "p', cast(c_nationkey as varchar), '", "operations": [{"direction": "obfuscate", "text": "', c_name, '"}, {"direction": "deobfuscate", "text": "x", "partition": "own"}]}}') end as value from customer"""
 

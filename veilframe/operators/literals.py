@@ -1,36 +1,73 @@
-"""Literal dictionaries matched in texts as joins."""
+"""Literal dictionaries matched in texts: by an automaton below a checked size, by joins beyond it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilframe.operators.detect import expand_matches, sweep
 
 GRAM = 6  # code points of a literal that a text position is tested on first
+AUTOMATON_LITERALS, AUTOMATON_BYTES = 100_000, 4 << 20  # dictionaries up to this size become one automaton a task
 BROADCAST_LITERALS = 200_000  # dictionaries up to this many rows and ...
 BROADCAST_BYTES = 32 << 20  # ... this many bytes of text are broadcast
 BUCKETS = 1 << 20  # upper bound on the rows of the broadcast position test for larger dictionaries
 
 
-def match_literals(docs: DataFrame, literals: DataFrame, by: tuple[str, ...] = (), keep: tuple[str, ...] = (),
-                   condition: Column | None = None) -> DataFrame:
-    """Leftmost-longest, non-overlapping hits of a literal dictionary, wherever a literal stands in a text.
+def in_digits(before: Column, value: Column, after: Column) -> Column:
+    """Whether a hit begins or ends inside a longer run of digits."""
+    digit = r"[0-9]"
+    return (before.rlike(digit) & F.substring(value, 1, 1).rlike(digit)) | (after.rlike(digit) & F.substring(value, -1, 1).rlike(digit))
+
+
+def automaton_candidates(docs: DataFrame, values: list[str], by: list[str], keep: list[str], whole: bool) -> DataFrame:
+    """All places of the given strings in the texts, overlapping ones too: one pass over Arrow batches.
 
-    ``docs`` has doc_id, text, the ``by`` and the ``keep`` columns; ``literals`` has ``literal``, the
-    ``by`` columns and a payload.  The six code points after every text position (fewer for shorter
-    literals) are looked up in a broadcast table that gives the lengths of the literals which start so;
-    each length yields one candidate, and candidates meet the dictionary by equality.  So a position never
-    meets more rows than there are lengths, however many literals share a beginning.  The position test is
-    exact for dictionaries of checked size; for larger ones it works on hash buckets, whose number is
-    fixed, and the dictionary is joined by a shuffle of the candidates.
+    The strings are a dictionary of checked size; each task builds one automaton of them.
+    """
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(values)
+    carried = docs.select("doc_id", *by, *keep, "text")
+    names = carried.columns[:-1]
+
+    def scan(batches):
+        import ahocorasick
+
+        words = shared.value
+        trie = ahocorasick.Automaton()
+        for k, word in enumerate(words):
+            trie.add_word(word, k)
+        trie.make_automaton()
+        for batch in batches:
+            rows, starts, which = [], [], []
+            for i, text in enumerate(batch.column(len(names)).to_pylist()):
+                for last, k in trie.iter(text) if text else ():
+                    n = len(words[k])
+                    start = last + 1 - n
+                    if whole and ((start and "0" <= text[start] <= "9" and "0" <= text[start - 1] <= "9") or (
+                            last + 1 < len(text) and "0" <= text[last] <= "9" and "0" <= text[last + 1] <= "9")):
+                        continue
+                    rows.append(i)
+                    starts.append(start)
+                    which.append(words[k])
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(j).take(at) for j in range(len(names))), pa.array(starts, pa.int32()), pa.array(which, pa.string())],
+                [*names, "start", "literal"])
+
+    schema = T.StructType([*carried.schema.fields[:-1], T.StructField("start", T.IntegerType()), T.StructField("literal", T.StringType())])
+    return carried.filter("text is not null").mapInArrow(scan, schema)
+
+
+def position_candidates(docs: DataFrame, lits: DataFrame, grams: list[int], by: list[str], keep: list[str], small: bool, whole: bool) -> DataFrame:
+    """Places where a literal of a dictionary of any size may stand.
+
+    The six code points after every text position (fewer for shorter literals) are looked up in a broadcast table that
+    gives the lengths of the literals which start so; each length yields one candidate. So a position never meets more
+    rows than there are lengths, however many literals share a beginning. The table is exact for dictionaries of
+    checked size; for larger ones it works on hash buckets, whose number is fixed.
     """
-    by, keep = list(by), list(keep)
-    payload = [c for c in literals.columns if c not in by and c != "literal"]
-    lits = literals.filter(F.length("literal") > 0)
     k_of = F.least(F.length("literal"), F.lit(GRAM))
-    stats = lits.agg(F.count(F.lit(1)), F.sum(F.octet_length("literal")), F.collect_set(k_of)).first()
-    count, size, grams = stats[0], stats[1] or 0, sorted(stats[2]) or [GRAM]
-    small = count <= BROADCAST_LITERALS and size <= BROADCAST_BYTES
 
     def place(gram: Column) -> Column:
         key = F.concat_ws("\0", *[F.col(c).cast("string") for c in by], gram)
@@ -44,12 +81,43 @@ def match_literals(docs: DataFrame, literals: DataFrame, by: tuple[str, ...] = (
         windows = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
         positions = docs.select("doc_id", *by, *keep, "text", F.posexplode_outer(windows).alias("__pos", "__gram"))
         met = positions.withColumn("__place", place(F.col("__gram"))).join(lengths, "__place")
-        met = met.select("doc_id", *by, *keep, "text", "__pos", F.explode("__lengths").alias("__n")).select(
-            "doc_id", *by, *keep, F.col("__pos").cast("int").alias("start"), F.substring("text", F.col("__pos") + 1, F.col("__n")).alias("literal"))
+        met = met.select("doc_id", *by, *keep, "text", "__pos", F.explode("__lengths").alias("__n")).withColumn("literal", F.substring("text", F.col("__pos") + 1, F.col("__n")))
+        if whole:
+            before = F.when(F.col("__pos") == 0, "").otherwise(F.substring("text", F.col("__pos"), F.lit(1)))
+            met = met.filter(~in_digits(before, F.col("literal"), F.substring("text", F.col("__pos") + F.col("__n") + 1, F.lit(1))))
+        met = met.select("doc_id", *by, *keep, F.col("__pos").cast("int").alias("start"), "literal")
         candidates = met if candidates is None else candidates.unionByName(met)
+    return candidates
+
+
+def all_places(docs: DataFrame, literals: DataFrame, by: tuple[str, ...] = (), keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Every place of every literal, overlapping ones included: (doc_id, by, keep, value, start, end, payload).
+
+    ``literals`` has ``literal``, the ``by`` columns and a payload. Small dictionaries are searched by an automaton in
+    one pass over the texts, larger ones by joins. ``whole`` leaves out hits that begin or end inside a run of digits.
+    """
+    by, keep = list(by), list(keep)
+    payload = [c for c in literals.columns if c not in by and c != "literal"]
+    lits = literals.filter(F.length("literal") > 0)
+    stats = lits.agg(F.count(F.lit(1)), F.sum(F.octet_length("literal")), F.collect_set(F.least(F.length("literal"), F.lit(GRAM)))).first()
+    count, size = stats[0], stats[1] or 0
+    small = count <= BROADCAST_LITERALS and size <= BROADCAST_BYTES
+    if count <= AUTOMATON_LITERALS and size <= AUTOMATON_BYTES:
+        candidates = automaton_candidates(docs, sorted({r[0] for r in lits.select("literal").collect()}), by, keep, whole)
+    else:
+        candidates = position_candidates(docs, lits, sorted(stats[2]) or [GRAM], by, keep, small, whole)
     found = candidates.join(F.broadcast(lits) if small else lits, [*by, "literal"])
-    found = found.select("doc_id", *by, *keep, F.col("literal").alias("value"), "start",
-                         (F.col("start") + F.length("literal")).cast("int").alias("end"), *payload)
+    return found.select("doc_id", *by, *keep, F.col("literal").alias("value"), "start",
+                        (F.col("start") + F.length("literal")).cast("int").alias("end"), *payload)
+
+
+def match_literals(docs: DataFrame, literals: DataFrame, by: tuple[str, ...] = (), keep: tuple[str, ...] = (),
+                   condition: Column | None = None, whole: bool = False) -> DataFrame:
+    """Leftmost-longest, non-overlapping hits of a literal dictionary, wherever a literal stands in a text.
+
+    ``docs`` has doc_id, text, the ``by`` and the ``keep`` columns; see ``all_places`` for the rest.
+    """
+    found = all_places(docs, literals, by, keep, whole)
     if condition is not None:
         found = found.filter(condition)
     return sweep(found.repartition("doc_id"), [-F.col("end")])

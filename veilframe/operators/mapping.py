@@ -79,7 +79,8 @@ def _fakes(seeded: DataFrame, expression: Callable[[list[str]], str], categories
     return out
 
 
-def fix_collisions(minted: DataFrame, keys: Keys, store: DataFrame | None = None, custom: dict[str, str] | None = None) -> DataFrame:
+def fix_collisions(minted: DataFrame, keys: Keys, store: DataFrame | None = None, custom: dict[str, str] | None = None,
+                   misread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Make stand-ins unique per tenant and different from their own value.
 
     Of the values that meet in one stand-in the smallest (seed, real) keeps it.  The others try again:
@@ -87,6 +88,8 @@ def fix_collisions(minted: DataFrame, keys: Keys, store: DataFrame | None = None
     what is still taken (small pools run out) gets a keyed suffix of growing length, so every value ends
     with its own stand-in, however many there are.  The winner per stand-in is a partial aggregate, so a
     stand-in that a third of all values share costs no more than the others.
+
+    ``misread`` returns those of the given (tenant, fake) rows that the texts hold themselves; they count as taken.
     """
     settled = [store.select("tenant", "real", "fake")] if store is not None else []
     done: list[DataFrame] = []
@@ -100,6 +103,9 @@ def fix_collisions(minted: DataFrame, keys: Keys, store: DataFrame | None = None
             judged = judged.join(taken, ["tenant", "fake"], "left").withColumn(
                 "free", F.col("free") & F.col("taken").isNull()).drop("taken")
         judged = materialize(judged, "judged")
+        if misread is not None:
+            held = misread(judged.filter("free").select("tenant", "fake")).withColumn("held", F.lit(True))
+            judged = materialize(judged.join(held, ["tenant", "fake"], "left").withColumn("free", F.col("free") & F.col("held").isNull()).drop("held"), "judged")
         won = judged.filter("free").drop("free")
         done.append(won)
         settled.append(won.select("tenant", "real", "fake"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from json.decoder import scanstring
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilframe.functions.text import wildcard_to_regex
 
@@ -103,12 +107,91 @@ def explode_messages(payloads: DataFrame, id_col: str = "msg_id", col: str = "pa
     return p.select(id_col, F.inline_outer(leaves)).filter("text is not null")
 
 
-def reassemble_messages(leaves: DataFrame, id_col: str = "msg_id") -> DataFrame:
-    """Rewritten leaves of message contents back to one JSON payload per id, in message order."""
-    rows = leaves.filter(F.col("path").rlike(r"^messages\[\d+\]\.content$"))
-    m = F.array_sort(F.collect_list(F.struct("pos", "role", F.col("text").alias("content"))))
-    return rows.groupBy(id_col).agg(m.alias("m")).select(id_col, F.to_json(F.struct(
-        F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("payload"))
+def reassemble_messages(leaves: DataFrame, id_col: str = "msg_id", payloads: DataFrame | None = None, col: str = "payload") -> DataFrame:
+    """Rewritten leaves back to one JSON payload per id.
+
+    With ``payloads`` (id, payload) each leaf goes back to its place in the payload it came from: only strings that
+    changed are written anew, everything else, known or not, stays byte for byte, and so do payloads without leaves.
+    Ids are unique. Without it the plain contents of messages make a new payload, in message order.
+    """
+    if payloads is None:
+        rows = leaves.filter(F.col("path").rlike(r"^messages\[\d+\]\.content$"))
+        m = F.array_sort(F.collect_list(F.struct("pos", "role", F.col("text").alias("content"))))
+        return rows.groupBy(id_col).agg(m.alias("m")).select(id_col, F.to_json(F.struct(
+            F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("payload"))
+    edits = leaves.filter("text is not null").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("__edits"))
+    return payloads.join(edits, id_col, "left").withColumn(col, F.when(F.col("__edits").isNull(), F.col(col)).otherwise(edit_strings(F.col(col), F.col("__edits")))).drop("__edits")
+
+
+def string_places(text: str):
+    """(path, start, end, value) of every string value of a JSON text, in order; an error where it is broken.
+
+    Paths are those of ``explode_messages``.
+    """
+    blank, scalar = re.compile(r"[ \t\r\n]*"), re.compile(r"[-+.0-9A-Za-z]+")
+    skip = lambda i: blank.match(text, i).end()
+    stack: list[list] = []  # [path of the container, next index or None for an object]
+    i, path = skip(0), ""
+    while True:
+        c = text[i:i + 1]
+        if c in ("{", "["):
+            stack.append([path, None if c == "{" else 0])
+            i = skip(i + 1)
+            if text[i:i + 1] == ("}" if c == "{" else "]"):
+                stack.pop()
+                i += 1
+            else:
+                path, i = _enter(text, i, stack[-1], skip)
+                continue
+        elif c == '"':
+            value, end = scanstring(text, i + 1, False)
+            yield path.replace(".function.arguments", ".arguments").replace("system_instruction.parts[", "system_instruction["), i, end, value
+            i = end
+        else:
+            i = scalar.match(text, i).end()
+        while stack:  # after a value: the next member, or the ends of containers
+            i = skip(i)
+            if text[i] == ",":
+                path, i = _enter(text, skip(i + 1), stack[-1], skip)
+                break
+            if text[i] != ("}" if stack[-1][1] is None else "]"):
+                raise ValueError("broken JSON")
+            stack.pop()
+            i += 1
+        else:
+            return
+
+
+def _enter(text: str, i: int, container: list, skip) -> tuple[str, int]:
+    """Path and start of the next member of a container."""
+    at, index = container
+    if index is not None:
+        container[1] += 1
+        return f"{at}[{index}]", i
+    key, end = scanstring(text, i + 1, False)
+    return f"{at}.{key}" if at else key, skip(skip(end) + 1)
+
+
+@F.pandas_udf(T.StringType())
+def edit_strings(payload: pd.Series, edits: pd.Series) -> pd.Series:
+    """JSON texts with the string values at the given paths replaced; broken texts stay as they are."""
+
+    def edited(text: str | None, changes) -> str | None:
+        if text is None or not changes:
+            return text
+        changes = dict(changes)
+        out, done = [], 0
+        try:
+            for path, start, end, value in string_places(text):
+                new = changes.get(path, value)
+                if new != value:
+                    out += [text[done:start], json.dumps(new, ensure_ascii=False)]
+                    done = end
+        except (ValueError, AttributeError, IndexError):
+            return text
+        return "".join([*out, text[done:]])
+
+    return pd.Series([edited(t, c) for t, c in zip(payload, edits)], dtype=object)
 
 
 def walk_deep(df: DataFrame, json_col: str, fn: Callable[[Column], Column], out: str = "json_out") -> DataFrame:

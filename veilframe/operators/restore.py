@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veilframe.functions.ip import compress_ipv6, expand_ipv6
 from veilframe.operators.detect import claim_spans, expand_matches
-from veilframe.operators.literals import match_literals
+from veilframe.operators.literals import all_places, match_literals
 from veilframe.operators.mapping import reverse_map
 from veilframe.operators.rewrite import own_ids, own_rows, splice
 from veilframe.operators.subnets import FAKE_ADDRESS, FAKE_RANGE, FAKE_V6, residual_ranges, residual_v4
 
 
 def fake_hits(docs: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Stand-ins found in texts: (tenant, doc_id, value, start, end, repl, category)."""
+    """Stand-ins found in texts: (tenant, doc_id, value, start, end, repl, category); never within a longer number."""
     literals = reverse_map(mapping).select("tenant", F.col("fake").alias("literal"), F.col("real").alias("repl"), "category")
-    return match_literals(docs, literals, by=("tenant",))
+    return match_literals(docs, literals, by=("tenant",), whole=True)
 
 
 def restore(docs: DataFrame, mapping: DataFrame, out: str = "text_out") -> DataFrame:
@@ -24,10 +24,26 @@ def restore(docs: DataFrame, mapping: DataFrame, out: str = "text_out") -> DataF
     return own_ids(splice(docs, fake_hits(docs, mapping), out), own)
 
 
+def misread_fakes(docs: DataFrame, spans: DataFrame, fakes: DataFrame) -> DataFrame:
+    """Stand-ins (tenant, fake) that also stand in the part of the texts which stays as it is.
+
+    Restoring would take those places for stand-ins. ``spans`` (doc_id, start, end) are what will be replaced; they do
+    not overlap, so the last span that starts before a find decides whether it lies inside one.
+    """
+    found = all_places(docs, fakes.select("tenant", F.col("fake").alias("literal")).distinct(), by=("tenant",), whole=True)
+    kinds = spans.select("doc_id", "start", "end", F.lit(None).cast("string").alias("tenant"), F.lit(None).cast("string").alias("fake"))
+    both = kinds.unionByName(found.select("doc_id", "start", "end", "tenant", F.col("value").alias("fake")))
+    order = W.partitionBy("doc_id").orderBy("start", F.col("fake").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    covered = F.last(F.when(F.col("fake").isNull(), F.col("end")), ignorenulls=True).over(order)
+    return both.withColumn("covered", covered).filter("fake is not null and end > coalesce(covered, 0)").select("tenant", "fake").distinct()
+
+
 def restore_with_stats(docs: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Restored texts, and replacements per text and category."""
+    """Restored texts, and replacements per text and category; texts that share an id are counted apart."""
+    docs, own = own_rows(docs)
     hits = fake_hits(docs, mapping)
-    return splice(docs, hits), hits.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("replacements"))
+    counts = hits.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("replacements"))
+    return own_ids(splice(docs, hits), own), own_ids(counts, own)
 
 
 def restore_exact(docs_out: DataFrame, replaced: DataFrame, out: str = "text_restored", text_col: str = "text_out") -> DataFrame:
@@ -76,6 +92,7 @@ def restore_derived(docs: DataFrame, mapping: DataFrame, subnets: DataFrame | No
     All finds refer to the same text and earlier kinds win, so restored values are never rewritten.
     Returns the texts and the list of edits (with ``kind``).
     """
+    docs, own = own_rows(docs)
     kinds = [fake_hits(docs, mapping).select("tenant", "doc_id", "value", "start", "end", "repl", F.lit(0).alias("prio"))]
     v6 = residual_v6(_found(docs, FAKE_V6, 0, F.lower("text").contains("fd00")), mapping)
     kinds.append(v6.select("tenant", "doc_id", "value", "start", "end", "repl", F.lit(2).alias("prio")))
@@ -91,7 +108,7 @@ def restore_derived(docs: DataFrame, mapping: DataFrame, subnets: DataFrame | No
     edits = claim_spans(edits.withColumns({"m_no": F.col("start"), "grp": F.lit(0)}), strict=True).drop("m_no", "grp")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("known", "residual_v4", "residual_v6", "range")]), F.col("prio") + 1)
     edits = edits.withColumn("kind", kind)
-    return splice(docs, edits, out), edits
+    return own_ids(splice(docs, edits, out), own), own_ids(edits, own)
 
 
 def restore_json(docs: DataFrame, mapping: DataFrame, out: str = "text_out") -> DataFrame:

@@ -17,10 +17,10 @@ SPLICE = (
 def own_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Docs whose ``doc_id`` stands for one row each, and the caller's ids where they did not.
 
-    Ids that repeat (other tenants, equal lines of a file) are replaced by row numbers of a written copy, so that no
-    offset, group or join mixes two texts. The test reads ids only.
+    Ids that repeat (other tenants, equal lines of a file) or are null are replaced by row numbers of a written copy, so
+    that no offset, group or join mixes two texts or misses one. The test reads ids only.
     """
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
         return docs, None
     rows = materialize(docs.withColumn("__own", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
     return rows.drop("__own"), rows.select("doc_id", "__own")

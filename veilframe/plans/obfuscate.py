@@ -15,7 +15,7 @@ from veilframe.operators.detect import detect_custom, detect_regex, resolve_over
 from veilframe.operators.filters import filter_stats, with_drop_reason
 from veilframe.operators.literals import detect_denylist
 from veilframe.operators.mapping import distinct_values, fix_collisions, mint, upsert_store
-from veilframe.operators.restore import fake_hits
+from veilframe.operators.restore import fake_hits, misread_fakes
 from veilframe.operators.rewrite import own_ids, own_rows, replacements, splice
 from veilframe.operators.rules import Rule
 from veilframe.operators.subnets import learn_subnets
@@ -36,6 +36,7 @@ class Config:
     generators: dict[str, str] = field(default_factory=dict)
     detectors: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     level: str = "full"  # full, masked or stats
+    unambiguous: bool = True  # no stand-in equals something that the texts keep, so restoring finds stand-ins only
     dry_run: bool = False
     context: bool = True
     code: bool = True
@@ -112,7 +113,9 @@ def obfuscate(docs: DataFrame, config: Config, store: DataFrame | None = None, e
     if known is not None:
         known = materialize(known, "known")
     minted, subnets = mint(values, config.keys, known, existing_subnets, categories, config.generators)
-    mapping = fix_collisions(minted, config.keys, store, config.generators)
+    reversible = config.level == "full" and config.unambiguous
+    spans = kept.select("doc_id", "start", "end")
+    mapping = fix_collisions(minted, config.keys, store, config.generators, (lambda fakes: misread_fakes(docs, spans, fakes)) if reversible else None)
     if store is not None:
         mapping = upsert_store(store, mapping)
     replaced = replacements(kept, mapping, config.level)
