@@ -137,6 +137,25 @@ def stream_blocks(spark, sf_dir):
     return spark.read.parquet(out).filter("text <> ''").select("stream_id", "key", "text", "closed")
 
 
+def choice_stream(spark, sf_dir, kind, name):
+    """The choice protocol as a stream: blocks of one kind, restored."""
+    out = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    mapping = materialize(person_mapping(spark, sf_dir), "mapping")
+    deltas = as_stream(B.delta_rows(parse_sse(choice_bodies(spark, sf_dir)), F.lit("2026-01-01 00:00:00").cast("timestamp")), name)
+    drained(B.restore_stream(deltas.filter(F.col("kind") == kind), lambda: mapping, lambda df, batch_id: df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")), name)
+    return whole(spark.read.parquet(out))
+
+
+@query("stream_choices", f"select cast(conv_id as varchar) as stream_id, turn % 2 as key, 0 as sub, text, 'stop' as closed from ({RESTORED}) r")
+def stream_choices(spark, sf_dir):
+    return choice_stream(spark, sf_dir, "choice", "choices")
+
+
+@query("stream_tool_args", f"select cast(conv_id as varchar) as stream_id, turn % 2 as key, 0 as sub, text, 'stop' as closed from ({RESTORED}) r")
+def stream_tool_args(spark, sf_dir):
+    return choice_stream(spark, sf_dir, "call", "calls")
+
+
 @query("stream_timeout", "select cast(conv_id as varchar) as stream_id, count(distinct turn) as blocks from conversations where conv_id % 2 = 0 group by conv_id")
 def stream_timeout(spark, sf_dir):
     return timed_out(spark, sf_dir, F.col("stream_id").cast("bigint") % 2 == 0)
@@ -174,6 +193,36 @@ def stream_holdback(spark, sf_dir):
     return out.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
+@query("holdback_unstopped", f"select cast(conv_id * 1000 + turn as varchar) as stream_id, text from ({RESTORED}) r")
+def holdback_unstopped(spark, sf_dir):
+    """Streams that never stop: what is held when the input ends goes out too."""
+    p = pieces(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("stream_id"), F.col("n").cast("bigint").alias("seq"),
+                                     F.col("piece").alias("text"), F.lit(False).alias("is_stop"))
+    folder = f"{shared_dir(spark).rstrip('/')}/unstopped-{uuid.uuid4().hex}"
+    mapping = materialize(person_mapping(spark, sf_dir), "mapping")
+    batches = []
+    drained(B.restore_holdback(as_stream(p, "pieces"), lambda: mapping, folder, lambda df, b: (df.write.mode("overwrite").parquet(f"{folder}/out/batch={b}"), batches.append(b))), "unstopped")
+    out = spark.read.schema("stream_id string, seq bigint, text string").parquet(f"{folder}/out").select("stream_id", "seq", "text", F.lit(0).alias("rest"))
+    out = out.unionByName(B.holdback_rest(B.held_text(spark, folder, max(batches)), mapping).withColumn("rest", F.lit(1)))
+    return out.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rest", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+@query("frames_unstopped", f"select cast(conv_id as varchar) as stream_id, cast(sum(parts + 1) + 1 as bigint) as events from {PARTS} p group by conv_id")
+def frames_unstopped(spark, sf_dir):
+    """Bodies whose last chunk is not marked and whose last event is cut short: it goes out after a pause."""
+    body = F.expr("substring(body, 1, length(body) - 2)")
+    cut = F.regexp_extract_all(body, F.lit(r"(?s).{1,500}"), F.lit(0))
+    day = lambda n: F.lit(f"2026-01-0{n} 00:00:00").cast("timestamp")
+    chunks = block_bodies(spark, sf_dir).select("stream_id", F.posexplode(cut).alias("chunk_no", "chunk")).withColumns({"is_last": F.lit(False), "ts": day(1)})
+    path = f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    chunks.coalesce(1).write.parquet(path)
+    for n in (2, 3):  # the clock goes on
+        chunks.limit(1).withColumns({"stream_id": F.lit("clock"), "ts": day(n)}).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = collected(B.frame_chunks(stream), "frames").filter("stream_id <> 'clock'")
+    return out.groupBy("stream_id").agg(F.countDistinct("seq").alias("events"))
+
+
 @query("stream_frames", f"select cast(conv_id as varchar) as stream_id, cast(sum(parts + 1) + 1 as bigint) as events from {PARTS} p group by conv_id")
 def stream_frames(spark, sf_dir):
     cut = F.regexp_extract_all("body", F.lit(r"(?s).{1,500}"), F.lit(0))

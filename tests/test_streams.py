@@ -70,3 +70,35 @@ def test_holdback_over_batches_and_many_stand_ins(spark, tmp_path):
     for r in sorted(spark.read.parquet(f"{folder}/out").collect(), key=lambda r: (r.stream_id, r.seq)):
         got[r.stream_id] = got.get(r.stream_id, "") + r.text
     assert got == want
+
+
+def test_holdback_flushes_streams_that_pause(spark, tmp_path):
+    mapping = spark.createDataFrame([("", "Al", "Person-1"), ("", "Bo", "Person-12")], "tenant string, real string, fake string").withColumns({"category": F.lit("x"), "first_seen": F.lit(0)})
+    at = lambda t: f"2026-01-01 {t}"
+    batches = [
+        [("a", at("00:00:00"), 0, "hi Person-", False), ("b", at("00:00:00"), 0, "x Person-1", False), ("n", None, 0, "Person-1", False)],
+        [("a", at("00:01:00"), 1, "1", False)],
+        [("a", at("00:02:00"), 2, "2", False)],  # b has paused for two minutes of three
+        [("c", at("00:05:00"), 0, "Person-12 end", False)],  # a and b are flushed
+        [("a", at("00:05:30"), 3, " more Person-1", True)]]
+    stream = fed(spark, tmp_path, batches, "stream_id string, ts string, seq bigint, text string, is_stop boolean")
+    folder, ids = f"{tmp_path}/hold", []
+    writer = B.restore_holdback(stream, lambda: mapping, folder, lambda df, b: (df.write.mode("overwrite").parquet(f"{folder}/out/batch={b}"), ids.append(b)), idle="3 minutes")
+    writer.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = sorted((r.stream_id, r.batch, r.seq, r.text) for r in spark.read.parquet(f"{folder}/out").collect())
+    got = {s: "".join(t for x, *_, t in rows if x == s) for s in "abcn"}
+    rest = {r.stream_id: r.text for r in B.holdback_rest(B.held_text(spark, folder, max(ids)), mapping).collect()}
+    assert got["a"] == "hi Bo more Al" and got["b"] == "x Al" and got["c"] + rest["c"] == "Bo end" and got["n"] + rest["n"] == "Al"
+    assert [b for s, b, *_ in rows if s == "b"][-1] == 3
+    assert set(rest) == {"c", "n"}
+
+
+def test_chunks_without_an_end_are_flushed_after_a_pause(spark, tmp_path):
+    rows = [[("s", 0, "data: 1\n\ndata: ", False, "2026-01-01 00:00:00")], [("s", 1, "2", False, "2026-01-01 00:01:00")], [("t", 0, "data: x", False, "2026-01-01 01:00:00")],
+            [("t", 1, "y\n\n", False, "2026-01-01 02:00:00")], [("s", 2, "data: 3\n\n", False, "2026-01-01 02:10:00")], [("t", 2, "z", True, "2026-01-01 02:11:00")]]
+    stream = fed(spark, tmp_path, rows, "stream_id string, chunk_no int, chunk string, is_last boolean, ts string", lambda df: df.withColumn("ts", F.col("ts").cast("timestamp")))
+    made, out = B.frame_chunks(stream, "10 minutes"), f"{tmp_path}/frames"
+    made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.stream_id, r.seq, r.part) for r in spark.read.schema(made.schema).parquet(out).collect())
+    assert [(s, p) for s, _, p in got if s == "s"] == [("s", "data: 1"), ("s", "data: 2"), ("s", "data: 3")] and len({(s, n) for s, n, _ in got}) == len(got)
+    assert [p for s, _, p in got if s == "t"] == ["data: xy", "z"]

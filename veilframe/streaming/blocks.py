@@ -80,6 +80,15 @@ def _flush(key: tuple, seqs, subs, texts, closed: str):
                          "seq": list(seqs), "text": out, "closed": [closed] * n})
 
 
+def clocked(rows: DataFrame) -> DataFrame:
+    """Streaming rows with a watermark that follows the newest ``ts`` and drops nothing.
+
+    Spark drops rows behind the watermark. So rows that only tell the time move it, and those that are kept have none.
+    """
+    ticks = F.when(F.col("ts").isNull(), F.array(F.col("ts"))).otherwise(F.array(F.lit(None).cast("timestamp"), F.col("ts")))
+    return rows.withColumn("__clock", F.explode(ticks)).withWatermark("__clock", "0 seconds").filter("__clock is null")
+
+
 def accumulate(deltas: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """Streaming: hold the deltas of each block until its stop, then emit them with the text on the first.
 
@@ -116,10 +125,7 @@ def accumulate(deltas: DataFrame, idle: str = "10 minutes") -> DataFrame:
         elif state.exists:
             state.remove()
 
-    # Spark drops rows behind the watermark. So rows that only tell the time move it, and those with text have none.
-    ticks = F.when(F.col("ts").isNull(), F.array(F.col("ts"))).otherwise(F.array(F.lit(None).cast("timestamp"), F.col("ts")))
-    clocked = deltas.filter("kind <> 'other'").withColumn("__clock", F.explode(ticks)).withWatermark("__clock", "0 seconds").filter("__clock is null")
-    return clocked.groupBy("stream_id", "kind", "key").applyInPandasWithState(
+    return clocked(deltas.filter("kind <> 'other'")).groupBy("stream_id", "kind", "key").applyInPandasWithState(
         step, BLOCK_COLUMNS, "seqs array<bigint>, subs array<int>, texts array<string>, timed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -161,51 +167,103 @@ def passthrough(events: DataFrame, mapping: DataFrame, tenant: str = "") -> Data
     return restored.unionByName(rows.filter("not whole").select("stream_id", "seq", "n", "text"))
 
 
+HELD = "stream_id string, text string, seq bigint, seen timestamp, newest timestamp"
+
+
+def held_text(spark, folder: str, batch_id: int) -> DataFrame:
+    """What micro-batch ``batch_id`` held back. Two slots take turns, so a repeated batch overwrites its own only."""
+    return spark.read.schema(HELD).parquet(f"{folder.rstrip('/')}/held/slot={batch_id % 2}")
+
+
 def restore_holdback(deltas: DataFrame, mapping: Callable[[], DataFrame], folder: str, sink: Callable[[DataFrame, int], None],
-                     holdback: int | None = None, tenant: str = "") -> DataStreamWriter:
+                     holdback: int | None = None, tenant: str = "", idle: str = "10 minutes") -> DataStreamWriter:
     """Streamed restore without blocks: text goes out as it comes, but for as much as the longest stand-in, so none is shown in part.
 
-    Deltas are (stream_id, seq, text, is_stop); ``sink`` gets (stream_id, seq, text), one row per stream and stop of a
-    micro-batch, with the seq of its last delta. What is held back is written to ``folder``, one ``batch=<id>`` after the
-    other, and a repeated batch overwrites its own. Stand-ins are joined with the texts, so their number is not bounded;
-    ``mapping`` is called per batch.
+    Deltas are (stream_id, seq, text, is_stop) and, if they have a time, ts; ``sink`` gets (stream_id, seq, text), one row
+    per stream and stop of a micro-batch, with the seq of its last delta. What is held back is written to one of two slots
+    of ``folder`` in turn, however long the stream runs. The rest of a stream without a stop goes out once the newest ts
+    of all streams is ``idle`` past its own last one; ``holdback_rest`` gives what is held when the input has ended.
+    Stand-ins are joined with the texts, so their number is not bounded; ``mapping`` is called per batch.
     """
+    import pandas as pd
+
+    pause = F.expr(f"interval {int(pd.Timedelta(idle).total_seconds() * 1000)} milliseconds")
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, held, key = batch.sparkSession, f"{folder.rstrip('/')}/held", F.struct("stream_id", "part")
+        spark, key = batch.sparkSession, F.struct("stream_id", "part")
         known = mapping()
         keep = max(holdback or 0, known.agg(F.max(F.length("fake"))).first()[0] or 0)
+        ts = F.col("ts").cast("timestamp") if "ts" in batch.columns else F.lit(None).cast("timestamp")
+        batch = batch.select("stream_id", "seq", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_stop", F.lit(False)).alias("is_stop"), ts.alias("ts"))
         by_stream = W.partitionBy("stream_id").orderBy("seq", F.col("is_stop").cast("int"))
         stops = F.coalesce(F.sum(F.col("is_stop").cast("int")).over(by_stream.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "is_stop", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "")
-        new = batch.select("stream_id", "seq", "text", F.coalesce("is_stop", F.lit(False)).alias("is_stop")).withColumn("part", stops).groupBy("stream_id", "part").agg(
-            F.max("seq").alias("seq"), F.max("is_stop").alias("ended"), joined.alias("text"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "is_stop", "text"))), lambda x: x["text"]), "")
+        new = batch.withColumn("part", stops).groupBy("stream_id", "part").agg(
+            F.max("seq").alias("seq"), F.max("is_stop").alias("ended"), joined.alias("text"), F.max("ts").alias("seen"))
+        newest = batch.agg(F.max("ts")).first()[0]
         if batch_id > 0:
-            before = spark.read.schema("stream_id string, text string").parquet(f"{held}/batch={batch_id - 1}")
-            old = before.select("stream_id", F.lit(0).cast("bigint").alias("part"), F.col("text").alias("__held"))
-            new = new.join(old, ["stream_id", "part"], "full").withColumn("text", F.concat(F.coalesce("__held", F.lit("")), F.coalesce("text", F.lit("")))).drop("__held")
-        texts = materialize(new.withColumns({"doc_id": key, "tenant": F.lit(tenant), "ended": F.coalesce("ended", F.lit(False))}), "holdback")
+            before = held_text(spark, folder, batch_id - 1)
+            newest = max((t for t in (newest, before.agg(F.max("newest")).first()[0]) if t is not None), default=None)
+            old = before.filter("stream_id is not null").select("stream_id", F.lit(0).cast("bigint").alias("part"), F.col("text").alias("__held"), F.col("seq").alias("__seq"), F.col("seen").alias("__seen"))
+            new = new.join(old, ["stream_id", "part"], "full").select(
+                "stream_id", "part", F.coalesce("seq", "__seq").alias("seq"), "ended", F.col("seq").isNull().alias("waits"),
+                F.concat(F.coalesce("__held", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"), F.greatest("seen", "__seen").alias("seen"))
+        else:
+            new = new.withColumn("waits", F.lit(False))
+        left = F.coalesce(F.col("seen") + pause <= F.lit(newest).cast("timestamp"), F.lit(False))
+        new = new.withColumn("ended", F.coalesce("ended", F.lit(False)) | left)
+        texts = materialize(new.withColumns({"doc_id": key, "tenant": F.lit(tenant)}), "holdback")
         safe = F.when(F.col("ended"), F.length("text")).otherwise(F.greatest(F.lit(0), F.length("text") - keep))
         texts = texts.withColumn("__safe", safe)
-        hits = fake_hits(texts.filter("seq is not null").select("tenant", "doc_id", "text"), known)
+        moving = "ended or not waits"  # the others have no new text
+        hits = fake_hits(texts.filter(moving).select("tenant", "doc_id", "text"), known)
         hits = hits.join(texts.select("doc_id", "__safe"), "doc_id").filter(F.col("start") < F.col("__safe")).select("doc_id", "start", "end", "repl")
         hits = materialize(hits, "holdback_hits")  # that begin where all their text is there: later text cannot change them
         last = hits.groupBy("doc_id").agg(F.max("end").alias("__last"))
-        cut = texts.join(last, "doc_id", "left").withColumn("__cut", F.when(F.col("seq").isNull(), 0).otherwise(F.greatest("__safe", F.coalesce("__last", F.lit(0)))))
-        rest = cut.filter("not ended").select("stream_id", F.expr("substring(text, __cut + 1)").alias("text")).filter("text <> ''")
-        rest.write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
+        cut = texts.join(last, "doc_id", "left").withColumn("__cut", F.when(F.expr(f"not ({moving})"), 0).otherwise(F.greatest("__safe", F.coalesce("__last", F.lit(0)))))
+        rest = cut.filter("not ended").select("stream_id", F.expr("substring(text, __cut + 1)").alias("text"), "seq", "seen", F.lit(None).cast("timestamp").alias("newest"))
+        clock = spark.range(1).select(F.lit(None).cast("string").alias("stream_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("bigint").alias("seq"),
+                                      F.lit(None).cast("timestamp").alias("seen"), F.lit(newest).cast("timestamp").alias("newest"))
+        rest.filter("text <> ''").unionByName(clock).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/held/slot={batch_id % 2}")
         shown = cut.filter("__cut > 0").select("stream_id", "seq", "doc_id", F.expr("substring(text, 1, __cut)").alias("text"))
         sink(splice(shown, hits).select("stream_id", "seq", F.col("text_out").alias("text")), batch_id)
 
     return deltas.writeStream.foreachBatch(run)
 
 
-def frame_chunks(chunks: DataFrame) -> DataFrame:
+def holdback_rest(held: DataFrame, mapping: DataFrame, tenant: str = "") -> DataFrame:
+    """(stream_id, seq, text): the restored rest of every stream that is still held, for input that has ended."""
+    docs = held.filter("stream_id is not null").select(F.lit(tenant).alias("tenant"), F.struct("stream_id", "seq").alias("doc_id"), "text")
+    return restore(docs, mapping).select("doc_id.stream_id", "doc_id.seq", F.col("text_out").alias("text"))
+
+
+def frame_chunks(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """Streaming: byte chunks (stream_id, chunk_no, chunk, is_last) to whole events (stream_id, seq, part); the unfinished
-    rest of a chunk waits in state for the next one."""
+    rest of a chunk waits in state for the next one.
+
+    Where chunks have a ``ts``, the rest of a stream without a last chunk goes out once the newest ts of all streams has
+    moved on by ``idle`` since its micro-batch; later chunks go on counting, until as long a pause has passed again.
+    """
     import pandas as pd
 
+    idle_ms, timed = int(pd.Timedelta(idle).total_seconds() * 1000), "ts" in chunks.columns
+
+    def frame(key, seqs, parts):
+        return pd.DataFrame({"stream_id": [key[0]] * len(seqs), "seq": seqs, "part": parts})
+
     def step(key, batches, state: GroupState):
-        rest, n = state.get if state.exists else ("", 0)
+        rest, n, phase = state.get if state.exists else ("", 0, 0)
+        if state.hasTimedOut:
+            # 0: the clock holds the last chunk now, the pause counts from here; 1: the pause is over; 2: once more
+            if phase == 2:
+                state.remove()
+            else:
+                if phase == 1:
+                    yield frame(key, *(([n], [rest]) if rest.strip() else ([], [])))
+                    rest, n = "", n + bool(rest.strip())
+                state.update((rest, n, phase + 1))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max(1, idle_ms))
+            return
         rows = pd.concat(list(batches)).sort_values("chunk_no", kind="stable")
         seqs, parts, last = [], [], False
         for chunk, is_last in zip(rows["chunk"], rows["is_last"]):
@@ -220,8 +278,11 @@ def frame_chunks(chunks: DataFrame) -> DataFrame:
             if state.exists:
                 state.remove()
         else:
-            state.update((rest, n))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(seqs), "seq": seqs, "part": parts})
+            state.update((rest, n, 0))
+            if timed:
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+        yield frame(key, seqs, parts)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, seq bigint, part string", "rest string, n bigint", "append", GroupStateTimeout.NoTimeout)
+    return (clocked(chunks) if timed else chunks).groupBy("stream_id").applyInPandasWithState(
+        step, "stream_id string, seq bigint, part string", "rest string, n bigint, phase int", "append",
+        GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
