@@ -32,11 +32,17 @@ BENT = 0.25
 HARD = 20_000
 #: The kernel counts as zero for pairs whose longest common subsequence is below this share of the landmark.
 OVERLAP = 0.6
+#: Words whose scores a worker process keeps.
+WORDS = 400_000
 _BLANKS = bytes(32 if b in b"\t\n\r\x0b\x0c" else b | 32 if 65 <= b <= 90 else b for b in range(256))
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalpha())
 _RUN = re.compile(rb"(?<![^ ])[a-z](?: +[a-z]){2,}(?![^ ])")
 
 
+#: Scores of words by model, one model at a time: the tasks of a worker process share them.
+_SCORED: dict = {}
+
+
 @dataclass
 class Model:
     landmarks: list
@@ -44,6 +50,15 @@ class Model:
     bias: float
     knots: tuple = ((0.0,), (0.0,))   # score -> probability, interpolated
 
+    def memo(self) -> Memo:
+        """Word -> score; words that other tasks of this process have met are not evaluated again."""
+        key = (tuple(self.landmarks), bytes(self.weights), self.bias)
+        if key not in _SCORED:
+            _SCORED.clear()
+            kernel = Kernel(self.landmarks)
+            _SCORED[key] = Memo(lambda w: evaluate(self, kernel, w), WORDS)
+        return _SCORED[key]
+
     def probability(self, z):
         import numpy as np
 
@@ -124,9 +139,12 @@ class Kernel:
                 c = codes[live[i:i + 1500]]
                 both = (c[:, :, None] == c[:, None, :]) & (c[:, :, None] >= 0)
                 own[live[i:i + 1500]] = np.sqrt(np.maximum(subsequence_kernel(both), 1e-12))
+            order = np.argsort(self.size[m], kind="stable")  # short landmarks make small tables
+            a, m = a[order], m[order]
             for i in range(0, len(a), 6000):
                 x, y = a[i:i + 6000], m[i:i + 6000]
-                out[x, y] = subsequence_kernel(codes[x][:, :, None] == self.codes[y][:, None, :]) / (own[x] * self.own[y])
+                shape = self.codes[y][:, None, :int(self.size[y[-1]])]
+                out[x, y] = subsequence_kernel(codes[x][:, :, None] == shape) / (own[x] * self.own[y])
         return out ** POWER
 
     def __call__(self, strings: list[str]):
@@ -140,12 +158,16 @@ class Kernel:
             for at in range(0, max(1, len(s) - WINDOW // 2), WINDOW // 2) if len(s) > WINDOW else (0,):
                 parts.append(s[at:at + WINDOW])
                 owner.append(i)
-        owner = np.array(owner)
+        owner, sizes = np.array(owner), np.fromiter(map(len, strings), np.int64, len(strings))
         order = np.argsort(np.fromiter(map(len, parts), np.int64, len(parts)), kind="stable")
         order = order[np.searchsorted(np.fromiter((len(parts[i]) for i in order), np.int64, len(order)), LENGTH):]
         for i in range(0, len(order), 4000):
             at = order[i:i + 4000]
-            np.maximum.at(out, owner[at], self._chunk([parts[j] for j in at]))
+            values, row = self._chunk([parts[j] for j in at]), owner[at]
+            whole = sizes[row] <= WINDOW  # seen in one window
+            out[row[whole]] = values[whole]
+            if not whole.all():
+                np.maximum.at(out, row[~whole], values[~whole])
         return out
 
 
@@ -166,15 +188,15 @@ def _svm(x, y, weight, cost: float = 3000.0):
     """L2 support vector machine by Newton's method on the squared hinge; weighted rows, classes balanced."""
     import numpy as np
 
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     c = cost * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
     ridge = np.eye(x.shape[1]) * 0.01
     w = np.zeros(x.shape[1])
     for _ in range(30):
         gap = 1 - y * (x @ w)
         on = gap > 0
-        grad = ridge @ w - 2 * x[on].T @ (c[on] * y[on] * gap[on])
-        hess = ridge + 2 * x[on].T @ (c[on, None] * x[on])
+        grad = ridge @ w - 2 * ((c * y * gap * on) @ x)
+        hess = ridge + sum(2 * part.T.astype(float) @ (v[:, None] * part) for part, v in ((x[i:i + 4000][on[i:i + 4000]], c[i:i + 4000][on[i:i + 4000]]) for i in range(0, len(x), 4000)))
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -221,23 +243,35 @@ def fit(rows: list[tuple[bytes, int]], prior: float | None = None, rounds: int =
     first = np.where(size >= LENGTH, excess, -np.inf)
     witness = [i for ss, y in texts if y for i in (s[first[s].argmax()] for s in ss) if first[i] >= 3]
     model = Model(landmarks, np.zeros(len(landmarks), np.float32), 0.0)
-    k = np.zeros((len(vocabulary), 0), np.float32)
+    k = np.zeros((len(vocabulary), TOXIC + CLEAN), np.float16)  # kernel values, allocated once and filled in blocks
+    filled = 0
+
+    def scores(weights, bias):
+        out = np.full(len(vocabulary), bias, np.float32)
+        for i in range(0, len(vocabulary), 8000):
+            out[i:i + 8000] += k[i:i + 8000, :filled].astype(np.float32) @ weights
+        return out
+
     for turn in range(rounds):
         kernel = Kernel(model.landmarks)
         among = kernel(model.landmarks).astype(float)
         values, vectors = np.linalg.eigh((among + among.T) / 2)
         root = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T  # Nystroem map
-        k = np.hstack([k, Kernel(model.landmarks[k.shape[1]:])(vocabulary)])
-        near = k.max(axis=1)
+        fresh = Kernel(model.landmarks[filled:])
+        for i in range(0, len(vocabulary), 8000):
+            k[i:i + 8000, filled:len(model.landmarks)] = fresh(vocabulary[i:i + 8000])
+        filled = len(model.landmarks)
+        near = k[:, :filled].max(axis=1)
         clean = np.flatnonzero((good > 0) & (near > 0))
         clean = clean[np.argsort(-near[clean], kind="stable")[:HARD]]
         seen = Counter(map(int, witness))
         bent = [v for i in seen for v in _bent(vocabulary[i])]
-        x = np.vstack([k[list(seen)], kernel(bent), k[clean]]) @ root
+        x = (np.vstack([k[list(seen), :filled].astype(np.float32), kernel(bent), k[clean, :filled].astype(np.float32)]) @ root).astype(np.float32)
         weight = np.concatenate([list(seen.values()), np.repeat(list(seen.values()), 2) * BENT, good[clean]]).astype(float)
         w, bias = _svm(x, np.concatenate([np.ones(3 * len(seen)), -np.ones(len(clean))]), weight)
         model.weights, model.bias = (root @ w).astype(np.float32), bias
-        f = k @ model.weights + bias
+        del x
+        f = scores(model.weights, bias)
         new = [i for ss, y in texts if y for i in (s[f[s].argmax()] for s in ss) if f[i] > 0 and excess[i] > 1]
         witness = new or witness
         if turn < rounds - 1:  # clean words that look most toxic become landmarks
@@ -272,8 +306,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str =
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        kernel = Kernel(model.landmarks)
-        memo = Memo(lambda w: evaluate(model, kernel, w))
+        memo = model.memo()
         for batch in batches:
             texts = batch.to_pylist()
             z = np.full(len(texts), model.bias, np.float64)
