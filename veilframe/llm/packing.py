@@ -2,12 +2,14 @@
 
 Texts become pieces of at most ``size`` tokens; whole pieces are sequences of their own. The rest is cut into blocks
 of bounded size by a hash, each packed by itself: best fit decreasing gives a first solution, and where that does not
-reach the lower bound, branch and bound completes bin after bin around the largest piece left, over undominated
+reach the lower bound, branch and bound completes its loose bins anew around the largest piece left, over undominated
 fillings only, until the waste bound or the node budget ends it. Bins that stay loose are packed once more together.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -16,16 +18,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilframe.session import materialize
 
-SIZE, BLOCK, NODES = 1024, 4096, 300
+SIZE, BLOCK = 1024, 4096
+#: Nodes of a search (at least 20 for each of its bins), bins in a group at least, fillings of a bin to try, and combinations looked at for them.
+NODES, GROUP, WAYS, TRIES = 6000, 400, 12, 120
 PIECE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 _CODERS: dict = {}
+#: Letters, then signs other than quotes: the tokenizer's own splitting ends a word between the two.
+_WORD = re.compile(r"([^\W\d_]+)?([^\w\s']+)?(?<=.)")
 
 
 class Coder:
     """Token ids of whole texts. A blank always begins a new word of the tokenizer's own splitting, so words are
-    encoded once each; texts with blanks in a row, where that does not hold, are encoded whole."""
+    encoded once each; texts with blanks in a row, where that does not hold, are encoded whole. Letters, a run of signs
+    after them, and single line ends between words are split there too, so ``word`` serves ``word,`` and ``word.``."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,6 +44,8 @@ class Coder:
         self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # tokens that begin with a blank
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
+        kind = json.loads(self.tokenizer.to_str())
+        self.splits = (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and kind["pre_tokenizer"].get("use_regex") and not kind["normalizer"]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -60,8 +69,38 @@ class Coder:
                 out += self._encode([" " + w for w in part])
         return out
 
+    def _parts(self, word: str) -> list[str] | None:
+        """The pieces that the tokenizer splits a word into, as keys of their own; None where it may split elsewhere.
+
+        A key that begins with a zero has no blank before it.
+        """
+        if not self.splits or word.isalpha() or not word:
+            return None
+        bare, out = word[0] == "\0", []
+        for i, line in enumerate((word[1:] if bare else word).split("\n")):
+            found = _WORD.fullmatch(line)
+            if not found:
+                return None
+            if i:
+                out.append("\0\n")
+                bare = True
+            for part in found.groups():
+                if part:
+                    out.append("\0" + part if bare else part)
+                    bare = True
+        return out if len(out) > 1 else None
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        import gc
+
+        gc.disable()  # millions of strings come and go by their counts, there are no cycles to look for
+        try:
+            return self._ids(texts)
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         known, split, whole = self.words, [], []
         for i, t in enumerate(texts):
             if not t:
@@ -73,17 +112,35 @@ class Coder:
                 words = t.split(" ")
                 words[0] = "\0" + words[0]
                 split.append(words)
-        new = list(set().union(*(w for w in split if w)) - known.keys())
+        new, made = set().union(*(w for w in split if w)) - known.keys(), {}
         if new:
+            made = {w: parts for w in new if (parts := self._parts(w))}
+            new.difference_update(made)
+            new.update(p for parts in made.values() for p in parts if p not in known)
             first = [w for w in new if w[:1] == "\0" or not w]
             later = [w for w in new if w[:1] != "\0" and w]
             known.update(zip(first, self._encode([w[1:] if w else " " for w in first])))
             known.update(zip(later, self._encode_words(later)))
-        out = [b"".join([known[w] for w in words]) if words else b"" for words in split]
+            for w, parts in made.items():
+                known[w] = b"".join([known[p] for p in parts])
+        for w in new:
+            if w[:1].isspace():  # runs of blanks of several kinds are split by what is around them
+                known[w] = None
+        out = []
+        for i, words in enumerate(split):
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except TypeError:
+                out.append(b"")
+                whole.append(i)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
         if len(known) > self.limit:
             known.clear()
+        else:
+            for w in made:
+                if "\n" in w:  # hardly ever seen twice
+                    del known[w]
         return out
 
 
@@ -143,40 +200,52 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with up to three of the pieces left, fullest first.
+def fillings(counts: dict[int, int], room: int, most: int = WAYS, tries: int = TRIES) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room`` with any number of the pieces left (length -> number), fullest first.
 
-    A filling is dominated by one that puts a larger piece, still fitting, in the place of one of its own.
+    A filling is dominated if a piece that is left fits beside it, or in the place of a smaller one of its own. At most
+    ``tries`` combinations are looked at, larger pieces first, and ``most`` are returned.
     """
-    found: set[tuple[int, ...]] = set()
-    largest = lambda r: sizes[at] if (at := bisect_right(sizes, r) - 1) >= 0 else 0
-    one = largest(room)
-    if one:
-        found.add((one,))
-    for a in sizes[::-1]:
-        if a > room or len(found) >= 8 * most:
+    sizes = sorted((n for n in counts if n <= room), reverse=True)
+    found: list[tuple[int, ...]] = []
+    left, chosen, budget = dict(counts), [], tries
+    # depth first: each level goes down the sizes from where the level above stands
+    levels = [[0, room]]
+    while levels and budget > 0:
+        i, space = levels[-1]
+        while i < len(sizes) and (sizes[i] > space or not left[sizes[i]]):
+            i += 1
+        if i == len(sizes):
+            if chosen and len(levels) == len(chosen) + 1 and levels[-1][0] >= 0:
+                budget -= 1
+                larger = {n: min((m for m in sizes if m > n and left[m]), default=0) for n in set(chosen)}
+                fits = any(left[m] and m <= space for m in sizes[-1:]) or any(m and m - n <= space for n, m in larger.items())
+                if not fits:
+                    found.append(tuple(chosen))
+                    if space == 0 and len(found) >= most:
+                        break
+            levels.pop()
+            if chosen and levels:
+                left[chosen.pop()] += 1
             continue
-        b = largest(min(a, room - a))
-        if b and (b != a or counts[a] > 1):
-            found.add((a, b))
-            c = largest(min(b, room - a - b))
-            if c and counts[c] >= 1 + (c == a) + (c == b):
-                found.add((a, b, c))
-    return sorted(found, key=lambda f: (-sum(f), len(f), f))[:most] or [()]
+        levels[-1][0] = i + 1
+        n = sizes[i]
+        left[n] -= 1
+        chosen.append(n)
+        levels.append([i, space - n])
+    return sorted(set(found), key=lambda f: (-sum(f), len(f), f))[:most] or [()]
 
 
-def complete(lengths: list[int], size: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of lengths by bin completion; the incumbent is best fit decreasing."""
-    order = sorted(lengths, reverse=True)
-    best = [[order[i] for i in b] for b in best_fit(order, size)]
-    total = sum(order)
-    bound = -(-total // size)
-    if len(best) <= bound or not order:
-        return best
+def improve(order: list[int], size: int, best: list[list[int]], nodes: int) -> list[list[int]]:
+    """Fewer bins for the given lengths by bin completion, or ``best``, the incumbent.
+
+    Branch and bound: each level completes a bin around the largest piece left with one of its undominated fillings; a
+    branch ends where its waste shows that it cannot beat the incumbent, the search at the lower bound or after ``nodes``.
+    """
+    total, bound = sum(order), -(-sum(order) // size)
     counts: dict[int, int] = {}
     for n in order:
         counts[n] = counts.get(n, 0) + 1
-    budget = [nodes]
     path: list[tuple[int, ...]] = []
 
     def take(f, sign):
@@ -185,47 +254,62 @@ def complete(lengths: list[int], size: int, nodes: int = NODES) -> list[list[int
             if not counts[n]:
                 del counts[n]
 
-    stack = [(None, iter([()]))]
-    waste = 0
-    while stack and budget[0] > 0 and len(best) > bound:
-        placed, options = stack[-1]
-        nxt = next(options, None)
+    def ways():
+        largest = max(counts)
+        take((largest,), -1)
+        out = [(largest, *f) for f in fillings(counts, size - largest)]
+        take((largest,), 1)
+        return iter(out)
+
+    stack, waste = [ways()], 0
+    while stack and nodes > 0 and len(best) > bound:
+        nxt = next(stack[-1], None)
         if nxt is None:
             stack.pop()
-            if placed is not None:
-                take(placed, 1)
-                waste -= size - sum(placed)
-                path.pop()
+            if path:
+                waste -= size - sum(path[-1])
+                take(path.pop(), 1)
             continue
-        if nxt:
-            lost = size - sum(nxt)
-            if total + waste + lost > (len(best) - 1) * size:  # too much waste to beat the incumbent
-                continue
-            take(nxt, -1)
-            waste += lost
-            path.append(nxt)
-        budget[0] -= 1
-        if not counts:
-            if len(path) < len(best):
-                best = [list(f) for f in path]
-            if nxt:
-                take(nxt, 1)
-                waste -= size - sum(nxt)
-                path.pop()
+        nodes -= 1
+        lost = size - sum(nxt)
+        if total + waste + lost > (len(best) - 1) * size:  # too much waste to beat the incumbent
             continue
-        if len(path) > 200 and len(counts) > 40:  # deep down, the rest by best fit
-            rest = sorted((n for n, k in counts.items() for _ in range(k)), reverse=True)
-            bins = best_fit(rest, size)
-            if len(path) + len(bins) < len(best):
-                best = [list(f) for f in path] + [[rest[i] for i in b] for b in bins]
-        largest = max(counts)
-        take((largest,), -1)
-        ways = [(largest, *f) for f in fillings(counts, sorted(counts), size - largest)]
-        take((largest,), 1)
-        stack.append((nxt if nxt else None, iter(ways)))
+        take(nxt, -1)
+        waste += lost
+        path.append(nxt)
+        if counts:
+            stack.append(ways())
+            continue
+        if len(path) < len(best):
+            best = [list(f) for f in path]
+        waste -= lost
+        take(path.pop(), 1)
     return best
 
 
+def complete(lengths: list[int], size: int, nodes: int = NODES) -> list[list[int]]:
+    """Bins of lengths: best fit decreasing, then bin completion of its loose bins.
+
+    Full bins waste nothing and stay. The others are taken loosest first, in groups that waste at least one bin, since
+    only those can do with one bin less; ``nodes`` bounds the search of a group and exceeds its bins many times.
+    """
+    order = sorted(lengths, reverse=True)
+    bins = [[order[i] for i in b] for b in best_fit(order, size)]
+    bound = -(-sum(order) // size)
+    bins.sort(key=sum)
+    done: list[list[int]] = []
+    while len(done) + len(bins) > bound:
+        waste = k = 0
+        while k < len(bins) and (waste < size or k < GROUP):
+            waste += size - sum(bins[k])
+            k += 1
+        if waste < size:
+            break
+        group, bins = bins[:k], bins[k:]
+        done += improve(sorted((n for b in group for n in b), reverse=True), size, group, max(nodes, 20 * k))
+    return done + bins
+
+
 def _pack_block(size: int, nodes: int, base: int):
     def pack(t: pa.Table) -> pa.Table:
         import numpy as np
