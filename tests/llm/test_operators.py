@@ -16,13 +16,13 @@ SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
 
 
-def word_set(text):
+def word_set(text, width=2):
     w = (text or "").encode().lower().split()
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(zip(*(w[i:] for i in range(width)))) if len(w) >= width else frozenset([tuple(w)]) if w else frozenset()
 
 
-def linked_classes(texts):
-    sets, root = {d: word_set(t) for d, t in texts.items()}, {d: d for d in texts}
+def linked_classes(texts, width=2):
+    sets, root = {d: word_set(t, width) for d, t in texts.items()}, {d: d for d in texts}
 
     def find(x):
         while root[x] != x:
@@ -43,7 +43,7 @@ def linked_classes(texts):
 
 def check_dedup(spark, texts, more=""):
     df = spark.createDataFrame([(d, t) for d, t in texts.items()], DOC)
-    got = {r.doc_id: r for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(df, width=2).collect()}
     root = linked_classes(texts)
     assert set(got) == set(texts)
     for d, r in got.items():
@@ -70,8 +70,8 @@ def test_dedup_edges(spark):
 
 def test_dedup_repeated_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "q r s")], DOC).withColumn("fp", F.lit("x"))
-    assert sorted((r.doc_id or 0, r.component_id) for r in minhash.near_duplicates(df).collect()) == [(0, 1), (1, 1), (1, 1), (2, 2)]
-    assert minhash.near_duplicates(df.filter("false")).count() == 0
+    assert sorted((r.doc_id or 0, r.component_id) for r in minhash.near_duplicates(df, width=2).collect()) == [(0, 1), (1, 1), (1, 1), (2, 2)]
+    assert minhash.near_duplicates(df.filter("false"), width=2).count() == 0
 
 
 def test_url_rules_of_any_length(spark):
@@ -373,3 +373,60 @@ def test_bin_completion():
         assert sorted(n for b in bins for n in b) == sorted(lengths) and all(sum(b) <= 100 for b in bins)
         assert len(bins) <= len(packing.best_fit(sorted(lengths, reverse=True), 100))
     assert len(packing.complete([51, 27, 26, 23, 23] * 2, 100)) <= 4
+
+
+def test_dedup_of_five_words_and_of_rows_without_ids(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    df = spark.createDataFrame(list(docs.items()), DOC)
+    root = linked_classes(docs, 5)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == root
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(900)}" for _ in range(300)]
+    chain = [" ".join(base[:k * 12] + [f"x{i}" for i in range(k * 12)] + base[k * 12:]) for k in range(3)]
+    rows = [(None, chain[0]), (None, chain[1]), (5, chain[2]), (None, "alone of its kind here"), (7, None), (None, None)]
+    sets = [word_set(t, 2) for t in chain]
+    assert all(100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets, sets[1:]))
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOC), width=2).collect()))
+    want = sorted([(0, len(sets[0]), 5), (0, len(sets[1]), 5), (5, len(sets[2]), 5), (0, 4, 0), (7, 0, 7), (0, 0, 0)])
+    assert got == want
+
+
+def test_bin_completion_reaches_the_optimum_of_small_sets():
+    def optimum(lengths, size):
+        best, order = [len(lengths)], sorted(lengths, reverse=True)
+
+        def go(i, bins):
+            if len(bins) < best[0]:
+                if i == len(order):
+                    best[0] = len(bins)
+                    return
+                for k in range(len(bins)):
+                    if bins[k] + order[i] <= size and bins[k] not in bins[:k]:
+                        go(i + 1, [*bins[:k], bins[k] + order[i], *bins[k + 1:]])
+                go(i + 1, [*bins, order[i]])
+
+        go(0, [])
+        return best[0]
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        size = rnd.choice([10, 30, 100])
+        lengths = [rnd.randint(1, size) for _ in range(rnd.randint(1, 10))]
+        bins = packing.complete(lengths, size)
+        assert sorted(n for b in bins for n in b) == sorted(lengths) and max(map(sum, bins)) <= size
+        assert len(bins) == optimum(lengths, size)
+    many = [rnd.choice([150, 200, 333, 340, 345, 260, 270, 512, 500]) for _ in range(2000)]
+    best_fit = packing.best_fit(sorted(many, reverse=True), 1024)
+    assert len(packing.complete(many, 1024)) < len(best_fit)  # here the search finds what best fit misses
+
+
+def test_words_are_coded_as_whole_texts_are():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    coder, whole = packing.Coder(path), Tokenizer.from_file(path)
+    rnd = random.Random(0)
+    bits = ["a", "the", "Über", "é", " ", " ", " ", "\n", "\n\n", ".", ",", "***", "'s", "'", "1", "23", "_", "²", "́", "中", "\t", "\r", "🙂", "\xa0", "\u2028", "\x1c", "-", "can't"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(8000)]
+    for text, ids in zip(texts, coder(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)

@@ -183,20 +183,24 @@ def _confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text:
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     one = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(key).alias("__key"), F.min("n").alias("n"))
     texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
-    got = texts.join(one, "__key").withColumn("__s", _sets(width)("__text")).filter("__s.fp = fp")
-    sets = materialize(got.select("fp", "n", F.col("__s.hashes").alias("h")), "sets").dropDuplicates(["fp"])
+    got = texts.join(one, "__key").withColumn("__s", _sets(width)("__text")).filter("__s.fp = fp").select("fp", "n", F.col("__s.hashes").alias("h"))
+    # texts that only rows without a key have are found by their sets
+    bare = texts.filter("__key is null").withColumn("__s", _sets(width)("__text")).select(F.col("__s.fp").alias("fp"), F.col("__s.hashes").alias("h"))
+    got = got.unionByName(bare.join(one.filter("__key is null").select("fp", "n"), "fp").select("fp", "n", "h"))
+    sets = materialize(got, "sets").dropDuplicates(["fp"])
     left, right = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, width: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """One row per input row: key, n_shingles, component_id (smallest key reachable), kept (is that key).
 
     Two texts are linked when ``100 * |A n B| >= percent * |A u B|`` for their sets of ``width``-word shingles; a
     text with fewer words is one shingle. A null, empty or blank text has size 0 and is linked with nothing. Rows
-    that repeat a key are judged each for itself, and the key stands for them; a null key is never another row's
-    component unless all keys of a component are null. Other columns are not read.
+    that repeat a key are judged each for itself, and the key stands for them; rows with a null key are compared like
+    others, but a null key is never another row's component unless all keys of a component are null, and then all of its
+    rows are kept: number the rows where keys are null or repeat. Other columns are not read.
     """
     slim = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
     signed = slim.withColumn("__s", _signatures(width)("__text")).select("__key", "__s.*")

@@ -30,7 +30,7 @@ def labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: i
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
