@@ -8,25 +8,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm import minhash, mixing, packing, quality, queries, toxicity
-from veilframe.session import shared_dir
+from veilframe.session import materialize, shared_dir
+
+
+def _scored(docs: DataFrame, score, keep) -> DataFrame:
+    """Rows whose score passes; columns of the input stay as they are, whatever their names."""
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, name).filter(keep(F.col(name))).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold."""
+    """Documents whose quality score reaches the threshold. A null text is judged as an empty one, equal texts alike."""
     model = quality.train(queries.labelled(spark, sf_dir, "quality", 4, 2))
-    return quality.score_quality(docs, model, out="__score").filter(F.col("__score") >= queries.THRESHOLD).drop("__score")
+    return _scored(docs, lambda d, out: quality.score_quality(d, model, out=out), lambda s: s >= queries.THRESHOLD)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold."""
+    """Documents whose toxicity score stays below the threshold. A null text is judged as an empty one, equal texts alike."""
     model = toxicity.train(queries.labelled(spark, sf_dir, "toxic", 3, 1))
-    return toxicity.score_toxicity(docs, model, out="__score").filter(F.col("__score") < queries.THRESHOLD).drop("__score")
+    return _scored(docs, lambda d, out: toxicity.score_toxicity(d, model, out=out), lambda s: s < queries.THRESHOLD)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, 0.8): the one of smallest doc_id.
+
+    Goes by rows, numbered in a written copy: rows that share an id are documents of their own, a null id comes last,
+    of rows with one id the first stays. Null, empty and blank texts are nobody's copy and stay.
+    """
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = minhash.near_duplicates(numbered, key=row).select(row, F.col("component_id").alias("__class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("id"), F.col(row).alias("row")))
+    stay = classes.join(numbered.select(row, "doc_id"), row).groupBy("__class").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
