@@ -85,6 +85,18 @@ def text_chunks(texts: list, size: int = 4_000_000):
         yield start, texts[start:]
 
 
+def release() -> None:
+    """Hand memory that training no longer needs back to the system, where the C library can do so."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def platt(z, y) -> tuple[float, float]:
     """Slope and shift of ``sigmoid(slope * z + shift)`` as probability of label 1, with smoothed targets."""
     import numpy as np

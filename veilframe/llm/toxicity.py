@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veilframe.llm.common import Memo, bounded_sample, isotonic, text_chunks
+from veilframe.llm.common import Memo, bounded_sample, isotonic, release, text_chunks
 
 #: Characters of a subsequence, weight of each place it spans, and the power of the normalised kernel (still a kernel).
 LENGTH, DECAY, POWER = 3, 0.7, 3
@@ -266,7 +266,7 @@ def fit(rows: list[tuple[bytes, int]], prior: float | None = None, rounds: int =
         clean = clean[np.argsort(-near[clean], kind="stable")[:HARD]]
         seen = Counter(map(int, witness))
         bent = [v for i in seen for v in _bent(vocabulary[i])]
-        x = (np.vstack([k[list(seen), :filled].astype(np.float32), kernel(bent), k[clean, :filled].astype(np.float32)]) @ root).astype(np.float32)
+        x = (np.vstack([k[list(seen), :filled].astype(np.float32), kernel(bent), k[clean, :filled].astype(np.float32)]) @ root.astype(np.float32)).astype(np.float32)
         weight = np.concatenate([list(seen.values()), np.repeat(list(seen.values()), 2) * BENT, good[clean]]).astype(float)
         w, bias = _svm(x, np.concatenate([np.ones(3 * len(seen)), -np.ones(len(clean))]), weight)
         model.weights, model.bias = (root @ w).astype(np.float32), bias
@@ -293,7 +293,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     rows = bounded_sample(known, key, per_class, by=label)
     got = sorted((int(r[1]), bytes(r[0])) for r in rows.select(F.col(text).cast("binary"), F.col(label)).toLocalIterator())
     whole = sum(counts.values())
-    return fit([(t, y) for y, t in got], prior=counts.get(1, 0) / whole if whole else None)
+    model = fit([(t, y) for y, t in got], prior=counts.get(1, 0) / whole if whole else None)
+    del got
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
