@@ -12,6 +12,7 @@ unit that the model finds worst, and model and witnesses are improved in turn.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -291,12 +292,20 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     known = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull())
     counts = dict(known.groupBy(label).count().collect())
     rows = bounded_sample(known, key, per_class, by=label)
-    got = sorted((int(r[1]), bytes(r[0])) for r in rows.select(F.col(text).cast("binary"), F.col(label)).toLocalIterator())
     whole = sum(counts.values())
-    model = fit([(t, y) for y, t in got], prior=counts.get(1, 0) / whole if whole else None)
-    del got
-    release()
-    return model
+    prior = counts.get(1, 0) / whole if whole else None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((int(y), bytes(t)) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        model = fit([(t, y) for y, t in got], prior=prior)
+        del got
+        release()
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+
+    # the sample is bounded and learned from in one task, so that the driver holds the model only
+    sample = rows.select(F.col(text).cast("binary").alias("text"), F.col(label).cast("int").alias("label")).repartition(1)
+    made = sample.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([], prior=prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
