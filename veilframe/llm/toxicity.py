@@ -34,7 +34,7 @@ HARD = 20_000
 #: The kernel counts as zero for pairs whose longest common subsequence is below this share of the landmark.
 OVERLAP = 0.6
 #: Words whose scores a worker process keeps.
-WORDS = 400_000
+WORDS = 250_000
 _BLANKS = bytes(32 if b in b"\t\n\r\x0b\x0c" else b | 32 if 65 <= b <= 90 else b for b in range(256))
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalpha())
 _RUN = re.compile(rb"(?<![^ ])[a-z](?: +[a-z]){2,}(?![^ ])")
