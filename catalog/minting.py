@@ -8,6 +8,7 @@ from catalog.base import D_NET, KEYS, material_duck, net_docs, q, query, seed_du
 from veilframe.functions import hosts, ip, keyed, text
 from veilframe.operators import fakes as K, mapping as M, subnets as S
 from veilframe.plans import corpora as C
+from veilframe.session import materialize
 from veilframe.sources import readers
 
 # --- values of each category, in the common dialect ------------------------------------------------
@@ -244,6 +245,21 @@ def mint_ipv4(spark, sf_dir):
     return minted.select(F.col("real").alias("value"), "fake")
 
 
+@query("mint_second_batch", f"""{ALLOC}, {NET_VALUES}, hit as (select value, n, arg_max({{}}, prefix_len) as fake from nums join alloc on n - n % (1::bigint << (32 - prefix_len)) = real_net group by value, n),
+ rest as (select value, n, dense_rank() over (order by n - n % 256) - 1 as net from nums where value not in (select value from hit)),
+ used as (select coalesce(sum(1::bigint << (32 - prefix_len)), 0) as total from known),
+ placed as (select value, fake from hit union all select value, {S.POOL_BASE} + cast(ceil(total / 256) as bigint) * 256 + net * 256 + n % 256 as fake from rest, used)
+ select value, {QUADS.format('cast(fake as bigint)')} as fake from placed""".replace("{}", "cast(fake_net as bigint) + n - real_net"))
+def mint_second_batch(spark, sf_dir):
+    """The first batch announces subnets, the second holds addresses alone: they go to the blocks of the first."""
+    docs = net_docs(spark, sf_dir)
+    first = materialize(S.allocate_subnets(S.learn_subnets(docs)), "subnets")
+    values = docs.select("tenant", F.explode_outer(F.regexp_extract_all("text", F.lit(r"(?<!\w)10[.]\d+[.]\d+[.]\d+(?!\w)"), F.lit(0))).alias("value"))
+    values = values.filter("value is not null").distinct().withColumn("category", F.lit("ip_address"))
+    minted, _ = M.mint(values, KEYS, existing_subnets=first, categories=["ip_address"])
+    return minted.select(F.col("real").alias("value"), "fake")
+
+
 def minted_people(spark, sf_dir):
     """Personal values of all customers with stand-ins, two small-pool categories among them."""
     frames = None

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions.keyed import Keys
@@ -49,3 +50,18 @@ def test_long_paths_end_no_job(spark):
     got = [r[0] for r in df.select(F.regexp_extract_all("text", F.lit(R.java_pattern(rule)), F.lit(0))).collect()]
     assert got == [[m.group() for m in re.finditer(rule.pattern, t, re.ASCII)] for t in texts]
     assert sum(map(bool, got)) > 50
+
+
+@pytest.mark.parametrize("name,letters,long", [
+    ("email", ["a", "B", "7", ".", "-", "@", "_", "%", " ", "\u00e9", "a@b", ".com", ".x1"], "me@" + "a." * 60_000 + "org x"),
+    ("file_path_windows", ["C:\\", "a", "B", "\\", ".", "-", "_", " ", "\u00e9", "/", ":"], "C:\\" + "a\\" * 60_000 + "b x"),
+    ("ldap_bind_dn", ["CN=", ",OU=", ",DC=", ",O=", ",C=", ",", "a", "=", " ", "\u00e9"], "CN=x" + ",OU=y" * 60_000 + ",z"),
+    ("historian_tag", ["\\\\", "\\", "a", "B", ".", "-", "_", " ", "\u00e9"], "\\\\srv" + "\\t" * 60_000 + " x")])
+def test_long_names_end_no_job(spark, name, letters, long):
+    rule = next(r for r in R.BUILTIN if r.name == name)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(4, 40))) for _ in range(20_000)] + [long]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(F.regexp_extract_all("text", F.lit(R.java_pattern(rule)), F.lit(0))).collect()]
+    assert got == [[m.group() for m in re.finditer(rule.pattern, t, re.ASCII)] for t in texts]
+    assert sum(map(bool, got)) > 50 and len(got[-1][0]) > 120_000

@@ -161,6 +161,41 @@ def test_longest_prefix_and_residual(spark, docs_of):
     assert S.residual_v4(asked, blocks).first().repl == "10.1.2.77"
 
 
+def test_later_batches_use_earlier_prefixes(spark):
+    first = materialize(S.allocate_subnets(subnet_rows(spark, [(10 * 2**24 + 2**16, 16), (10 * 2**24 + 2**16 + 512, 24)])), "first")
+    values = spark.createDataFrame([("", v, "ip_address") for v in ("10.1.9.9", "10.1.2.7", "10.7.7.7")], "tenant string, value string, category string")
+    fresh = subnet_rows(spark, [(10 * 2**24 + 2**16, 30), (10 * 2**24 + 7 * 2**16, 16)])
+    minted, subnets = M.mint(values, KEYS, fresh, first, ["ip_address"])
+    fake = {r.real: r.fake for r in minted.collect()}
+    block = {(r.real_net, r.prefix_len): r.fake_net for r in subnets.collect()}
+    dotted = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    assert fake["10.1.9.9"] == dotted(block[10 * 2**24 + 2**16, 16] + 9 * 256 + 9)
+    assert fake["10.1.2.7"] == dotted(block[10 * 2**24 + 2**16 + 512, 24] + 7)
+    assert fake["10.7.7.7"] == dotted(block[10 * 2**24 + 7 * 2**16, 16] + 7 * 256 + 7)
+    assert {(r.real_net, r.prefix_len, r.fake_net) for r in first.collect()} <= {(*k, v) for k, v in block.items()}
+
+
+def test_more_subnets_than_space(spark):
+    nets = spark.range(2_000_000).selectExpr("'' tenant", "id * 256 real_net", "24 prefix_len")
+    got = S.allocate_subnets(nets).agg(F.count(F.lit(1)), F.count("fake_net"), F.countDistinct("fake_net"), F.max("fake_net")).first()
+    room = (S.POOL_SIZE + S.SPILL_SIZE) // 256
+    assert got[0] == 2_000_000 and got[1] == got[2] == room and got[3] == 254 * 2**24 - 256
+
+
+def test_addresses_beyond_the_space_have_their_own_stand_ins(spark, monkeypatch):
+    monkeypatch.setattr(S, "POOL_SIZE", 2**10)
+    monkeypatch.setattr(S, "SPILL_SIZE", 2**10)
+    values = spark.range(3000).selectExpr("'' tenant", "concat('10.', id div 100, '.', id % 100, '.', id % 7) value", "'ip_address' category")
+    minted, subnets = M.mint(values, KEYS, categories=["ip_address"])
+    rows = M.fix_collisions(minted, KEYS).collect()
+    assert len(rows) == 3000 == len({r.fake for r in rows}) and sum(r.fake.startswith("254.") for r in rows) == 2992
+    again, kept = M.mint(values, KEYS, existing_subnets=materialize(subnets, "earlier"), categories=["ip_address"])
+    assert kept.filter("fake_net is null").count() == 2992
+    assert {(r.real, r.fake) for r in again.collect()} == {(r.real, r.fake) for r in minted.collect()}
+    asked = spark.createDataFrame([("", "254.1.2.3")], "tenant string, value string")
+    assert S.residual_v4(asked, subnets).count() == 0
+
+
 @pytest.mark.parametrize("short,full", [("fd00::1", "fd00:0000:0000:0000:0000:0000:0000:0001"), ("2001:db8:0:1::", "2001:0db8:0000:0001:0000:0000:0000:0000"),
                                         ("::", "0000:0000:0000:0000:0000:0000:0000:0000"), ("1:2:3:4:5:6:7:8", "0001:0002:0003:0004:0005:0006:0007:0008")])
 def test_ipv6_forms(spark, short, full):

@@ -43,7 +43,8 @@ def mint(values: DataFrame, keys: Keys, known_subnets: DataFrame | None = None,
          categories: list[str] | None = None, custom: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Stand-ins for distinct (tenant, value, category) rows, and the subnet allocation behind the addresses.
 
-    Everything but IPv4 is a projection; addresses join their allocated block.
+    Everything but IPv4 is a projection; addresses join their allocated block.  The longest prefix wins, of those
+    learned now and those of ``existing_subnets``: a later batch puts neighbours into the block of an earlier one.
     """
     addressed, subnets = categories is None or "ip_address" in categories, None
     if addressed:
@@ -51,6 +52,8 @@ def mint(values: DataFrame, keys: Keys, known_subnets: DataFrame | None = None,
         v4 = values.filter((F.col("category") == "ip_address") & is_v4()).select("tenant", "value")
         if known_subnets is None:
             known_subnets = spark.createDataFrame([], "tenant string, real_net bigint, prefix_len int")
+        if existing_subnets is not None:
+            known_subnets = known_subnets.select("tenant", "real_net", "prefix_len").union(existing_subnets.select("tenant", "real_net", "prefix_len"))
         placed = prefix_len(v4, known_subnets)
         subnets = materialize(allocate_subnets(placed, existing_subnets), "subnets")
         blocks = placed.join(subnets, ["tenant", "real_net", "prefix_len"]).drop("prefix_len")

@@ -141,7 +141,15 @@ _BUILTIN_PATTERNS = {r.pattern for r in BUILTIN}
 
 
 #: Repeated groups that Java would match by recursion, one level a round, and forms that find the same in a loop.
-_LOOPS = {r"(?:/[\w.\-]+){3,}": r"(?:/[\w.\-]+){3,}+"}
+#: Labels between dots, or parts between backslashes, become one run of characters whose neighbours are tested instead.
+_LOOPS = {
+    r"(?:/[\w.\-]+){3,}": r"(?:/[\w.\-]+){3,}+",
+    r"(?:,(?:OU|DC|O|C)=[^,]+){2,}": r"(?:,(?:OU|DC|O|C)=[^,]+){2,}+",
+    r"(?:\\[A-Za-z0-9\-_.]+)*": r"(?:\\[A-Za-z0-9\-_.]+)*+",
+    r"(?:[\w.\-]+\\)*[\w.\-]+": r"[\w.\-](?:[\w.\-\\](?<!\\\\))*(?<=[\w.\-])",
+    r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}":
+        r"[a-zA-Z0-9](?:[a-zA-Z0-9.\-](?<!\.[.\-]|-\.))*(?<![.\-])\.[a-zA-Z]{2,}",
+}
 
 
 def java_pattern(rule: Rule) -> str:

@@ -8,9 +8,11 @@ from veilframe.functions.ip import int_to_ip, ip_to_int, network_of, valid_ipv4
 from veilframe.operators.ranks import running_total
 from veilframe.session import materialize
 
-# The carrier-grade block that holds fakes, and the reserved block for what does not fit.
+# The carrier-grade block that holds fakes, the reserved block for what does not fit (240 to 253), and
+# its part for single addresses of subnets that fit nowhere. What begins with 255 looks like a mask.
 POOL_BASE, POOL_SIZE = 100 * 2**24 + 64 * 2**16, 2**22
-SPILL_BASE, SPILL_SIZE = 240 * 2**24, 2**28
+SPILL_BASE, SPILL_SIZE = 240 * 2**24, 14 * 2**24
+SINGLE_BASE, SINGLE_SIZE = 254 * 2**24, 2**24
 MIN_PREFIX, MAX_PREFIX, DEFAULT_PREFIX = 8, 30, 24
 WINDOW_ROWS = 1_000_000  # subnets that one sort per tenant may hold; more are summed range by range
 
@@ -70,9 +72,9 @@ def allocate_subnets(subnets: DataFrame, existing: DataFrame | None = None) -> D
     """Give each (tenant, real_net, prefix_len) an aligned fake block that overlaps no other.
 
     Blocks are laid out largest first, so a running sum of sizes is aligned by construction.  Blocks that
-    do not fit the carrier-grade space, and those larger than it, go to the reserved space; its size
-    bounds a tenant's table, and what would exceed it is an error.  With ``existing`` allocations the new
-    blocks start after the last used address.
+    do not fit the carrier-grade space, and those larger than it, go to the reserved space.  What fits there
+    neither has a null ``fake_net``: its addresses get single stand-ins, and stay so in later batches.  With
+    ``existing`` allocations the new blocks start after the last used address.
     """
     fresh = materialize(subnets.select("tenant", "real_net", "prefix_len").distinct(), "nets")
     used_pool, used_spill = F.lit(0), F.lit(0)
@@ -105,8 +107,7 @@ def allocate_subnets(subnets: DataFrame, existing: DataFrame | None = None) -> D
     fresh = fresh.withColumn("__spilled", F.col("__large") | (F.col("__at") + F.col("size") > POOL_SIZE))
     fresh = offset(fresh, "__spill0", "__spilled", "__at2")
     too_far = F.col("__at2") + F.col("size") > SPILL_SIZE
-    fake = F.when(~F.col("__spilled"), F.lit(POOL_BASE) + F.col("__at")).when(
-        too_far, F.raise_error(F.lit("address space for fake subnets is used up"))).otherwise(F.lit(SPILL_BASE) + F.col("__at2"))
+    fake = F.when(~F.col("__spilled"), F.lit(POOL_BASE) + F.col("__at")).when(~too_far, F.lit(SPILL_BASE) + F.col("__at2"))
     new = fresh.select("tenant", "real_net", "prefix_len", fake.cast("bigint").alias("fake_net"))
     return new if existing is None else existing.select(*new.columns).unionByName(new)
 
@@ -123,6 +124,7 @@ def residual_v4(found: DataFrame, subnets: DataFrame) -> DataFrame:
 
     ``found`` has tenant and value besides its own columns, which are kept; adds ``repl``.
     """
+    subnets = subnets.filter("fake_net is not null")
     lengths = prefix_lengths(subnets)
     if not lengths:
         return found.withColumn("repl", F.lit(None).cast("string")).filter(F.lit(False))
@@ -141,7 +143,7 @@ def residual_ranges(found: DataFrame, subnets: DataFrame) -> DataFrame:
     numbers would leave 0-255 is left alone (no row).  Adds ``repl``.
     """
     pair = F.concat_ws(".", F.shiftright("real_net", 24).cast("string"), F.shiftright("real_net", 16).bitwiseAND(F.lit(255)).cast("string"))
-    base = subnets.withColumn("pair", pair).withColumn("third", F.shiftright("fake_net", 8).bitwiseAND(F.lit(255)).cast("int"))
+    base = subnets.filter("fake_net is not null").withColumn("pair", pair).withColumn("third", F.shiftright("fake_net", 8).bitwiseAND(F.lit(255)).cast("int"))
     common = base.groupBy("tenant", "pair").count().groupBy("tenant").agg(F.max_by("pair", F.struct("count", "pair")).alias("c_pair"))
     plen = base.groupBy("tenant", "prefix_len").count().groupBy("tenant").agg(F.max_by("prefix_len", F.struct("count", -F.col("prefix_len"))).alias("c_len"))
     by_third = base.groupBy("tenant", "third").agg(F.min_by(F.struct("pair", "prefix_len"), F.col("fake_net")).alias("t"))
