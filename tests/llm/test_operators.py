@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -123,6 +124,65 @@ def test_chat_layouts(spark):
     assert got[5:] == [None, None, None]
 
 
+def test_chat_records_with_more_fields(spark):
+    two = [("user", "a"), ("assistant", "b")]
+    cases = [
+        ('{"id":7,"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', two),
+        ('{"messages":[{"role":"user","content":"a","weight":0},{"role":"assistant","content":"b","name":"x"}],"meta":{"source":["w"]}}', two),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"}]},{"role":"assistant","content":"b"}]}', two),
+        ('{"messages":[{"role":"user","content":["a",{"type":"text","text":"c"},{"kind":1}]}]}', [("user", 'a\nc\n{"kind":1}')]),
+        ('{"messages":[{"role":"user","content":null},{"role":"assistant"},{"content":"z"}]}', [("user", ""), ("assistant", ""), ("", "z")]),
+        ('{"messages":[]}', []), ('{"messages":[],"system":"s"}', [("system", "s")]),
+        ('{"system":"s","conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', [("system", "s"), *two]),
+        ('{"prompt":"a","response":"b","score":0.5,"tags":["x"]}', two), ('{"input":"a","output":"b"}', two),
+        ('{"context":"p","question":"q","answer":"b"}', [("user", "p\nq"), ("assistant", "b")]),
+        ('{"messages":"a"}', None), ('{"messages":[1,2]}', None), ('{"odd":1}', None), ("[]", None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, payload string")
+    rows = chat.turns_of_records(df, "payload").orderBy("i").collect()
+    assert [r.turns and [tuple(t) for t in r.turns] for r in rows] == [w for _, w in cases]
+    assert len({rows[i].layout for i in (0, 1, 2, 3, 5)}) == 1 and len({rows[i].layout for i in (0, 11, 13)}) == 3
+    assert chat.turns_of_records(df.filter("false"), "payload").count() == 0
+    typed = spark.createDataFrame([([("user", "a", 0.5)],), (None,)], "messages array<struct<role:string,content:string,weight:double>>")
+    assert sorted([tuple(t) for t in r.turns] for r in chat.turns_of_frame(typed, ["messages"]).collect()) == [[], [("user", "a")]]
+    with pytest.raises(ValueError):
+        chat.turns_of_frame(df, ["i"])
+
+
+def plain_mined(rows, support, confidence, lift):
+    """All rules by brute force: {antecedent: confidence}."""
+    base = sum(bad for _, bad in rows) / len(rows)
+    out = {}
+    for words in {frozenset(c) for tokens, _ in rows for n in range(1, len(tokens) + 1) for c in itertools.combinations(tokens, n)}:
+        hit = [bad for tokens, bad in rows if words <= set(tokens)]
+        good = sum(hit) / len(hit)
+        if sum(hit) / len(rows) >= support and good >= confidence and good / base >= lift:
+            out[words] = good
+    return out
+
+
+def test_url_mining_of_templates(spark):
+    """Words that always occur together are one item; verdicts equal those of all rules by brute force."""
+    rng = random.Random(3)
+    pool = [["a1", "a2", "a3"], ["b"], ["c1", "c2"], ["d"], ["e"]]
+    rows = []
+    for _ in range(200):
+        picked = [g for g in pool if rng.random() < 0.5]
+        rows.append((sorted(t for g in picked for t in g), "b" in [g[0] for g in picked] and rng.random() < 0.8 or rng.random() < 0.1))
+    want = plain_mined([r for r in rows if r[0]], 0.05, 0.6, 1.2)
+    asked = [sorted(rng.sample(["a1", "a2", "a3", "b", "c1", "c2", "d", "e", "z"], rng.randint(1, 6))) for _ in range(120)]
+    rules = urls.mine_rules(spark.createDataFrame([r for r in rows if r[0]], "tokens array<string>, bad boolean"), min_support=0.05)
+    got = {tuple(r.tokens): (round(r.confidence, 9), r.antecedent) for r in urls.match_rules(spark.createDataFrame([(a,) for a in asked], "tokens array<string>").distinct(), rules).collect()}
+    best = {}
+    for a in asked:
+        fits = [(round(c, 9), -len(w), sorted(w)) for w, c in want.items() if w <= set(a)]
+        if fits:
+            best[tuple(a)] = (max(fits)[0], max(fits)[2])
+    assert got == best and len(best) > 20
+    template = [([f"w{k:02}" for k in range(40)], True)] * 50 + [(["x", f"y{i % 9}"], False) for i in range(200)]
+    assert [(len(r.antecedent), len(r.classes[0]), r.confidence) for r in urls.mine_rules(spark.createDataFrame(template, "tokens array<string>, bad boolean")).collect()] == [(1, 40, 1.0)]
+
+
 def test_url_rules(spark):
     from urllib.parse import urlsplit  # noqa: F401
 

@@ -23,22 +23,43 @@ def _fp(paths: list[str]) -> str:
     return hashlib.sha256("|".join(sorted(paths)).encode()).hexdigest()
 
 
-def _rule(paths: list[str], *turns: tuple[str, str]) -> tuple[str, dict]:
-    return _fp(paths), {"turns": turns}
+def _paths(turns: tuple[tuple[str, str], ...]) -> list[str]:
+    """Field paths that a mapping reads."""
+    out = []
+    for role, path in turns:
+        if role == "*":
+            array, r, t = path.split(":")
+            out += [f"{array}[].{r}", f"{array}[].{t}"]
+        else:
+            out += path.split("+")
+    return out
+
+
+def _rule(*turns: tuple[str, str]) -> tuple[str, dict]:
+    return _fp(_paths(turns)), {"turns": turns}
 
 
 #: Layouts by fingerprint. ``turns``: (role, path) in order, or ("*", array path) with the names of role and text fields.
 MAPPINGS: dict[str, dict] = dict([
-    _rule(["messages[].content", "messages[].role"], ("*", "messages:role:content")),
-    _rule(["conversations[].from", "conversations[].value"], ("*", "conversations:from:value")),
-    _rule(["turns[].role", "turns[].text"], ("*", "turns:role:text")),
-    _rule(["prompt", "response"], ("user", "prompt"), ("assistant", "response")),
-    _rule(["prompt", "completion"], ("user", "prompt"), ("assistant", "completion")),
-    _rule(["question", "answer"], ("user", "question"), ("assistant", "answer")),
-    _rule(["instruction", "output"], ("user", "instruction"), ("assistant", "output")),
-    _rule(["input", "instruction", "output"], ("user", "instruction+input"), ("assistant", "output")),
-    _rule(["prompt", "response", "system"], ("system", "system"), ("user", "prompt"), ("assistant", "response")),
+    _rule(("*", "messages:role:content")),
+    _rule(("*", "conversations:from:value")),
+    _rule(("*", "turns:role:text")),
+    _rule(("system", "system"), ("*", "messages:role:content")),
+    _rule(("system", "system"), ("*", "conversations:from:value")),
+    _rule(("user", "prompt"), ("assistant", "response")),
+    _rule(("user", "prompt"), ("assistant", "completion")),
+    _rule(("user", "question"), ("assistant", "answer")),
+    _rule(("user", "context+question"), ("assistant", "answer")),
+    _rule(("user", "query"), ("assistant", "response")),
+    _rule(("user", "input"), ("assistant", "output")),
+    _rule(("user", "instruction"), ("assistant", "output")),
+    _rule(("user", "instruction"), ("assistant", "response")),
+    _rule(("user", "instruction+input"), ("assistant", "output")),
+    _rule(("user", "instruction+context"), ("assistant", "response")),
+    _rule(("system", "system"), ("user", "prompt"), ("assistant", "response")),
 ])
+#: Field paths that some mapping reads; others (ids, sources, weights, scores) are no part of a fingerprint.
+KNOWN = sorted({p for layout in MAPPINGS.values() for p in _paths(layout["turns"])})
 #: Other names of roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -72,48 +93,75 @@ def _joined(parts: list[Column]) -> Column:
 def turns_of_frame(df: DataFrame, columns: list[str], out: str = "turns") -> DataFrame:
     """Adds canonical turns from typed columns; the schema's fingerprint selects the mapping.
 
-    Raises ``ValueError`` for an unknown layout: it is known before any row is read. Null texts are empty, a null
-    array has no turns.
+    Raises ``ValueError`` for an unknown layout: it is known before any row is read. Fields of a message that no
+    mapping reads do not matter. Null texts are empty, a null array has no turns.
     """
-    layout = MAPPINGS.get(_fp(schema_paths(df.select(*columns).schema)))
+    paths = schema_paths(df.select(*columns).schema)
+    layout = MAPPINGS.get(_fp([p for p in paths if "[]" not in p or p in KNOWN]))
     if layout is None:
-        raise ValueError(f"no mapping for {schema_paths(df.select(*columns).schema)}")
+        raise ValueError(f"no mapping for {paths}")
     turns = []
     for role, path in layout["turns"]:
         if role == "*":
             array, r, t = path.split(":")
-            return df.withColumn(out, F.coalesce(F.transform(array, _picked(r, t)), F.array().cast(f"array<{TURN}>")))
-        turns.append(_turn(F.lit(role), _joined([F.col(p) for p in path.split("+")]) if "+" in path else F.col(path)))
-    return df.withColumn(out, F.array(*turns))
+            turns.append(F.coalesce(F.transform(array, _picked(r, t)), F.array().cast(f"array<{TURN}>")))
+        else:
+            turns.append(F.array(_turn(F.lit(role), _joined([F.col(p) for p in path.split("+")]) if "+" in path else F.col(path))))
+    return df.withColumn(out, F.concat(*turns))
+
+
+def _is_array(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
+
+
+def _variant_text(value: Column) -> Column:
+    """Text of a JSON value: a string as it is; of a list its strings and ``text`` fields, other blocks as JSON, by lines."""
+    def block(x: Column) -> Column:
+        return F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"))
+
+    blocks = F.transform(F.try_variant_get(value, "$", "array<variant>"), block)
+    return F.when(_is_array(value), F.array_join(blocks, "\n")).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+def _message(role: str, text: str):
+    return lambda x: _turn(F.try_variant_get(x, f"$.{role}", "string"), _variant_text(F.try_variant_get(x, f"$.{text}", "variant")))
+
+
+def _has(doc: Column, path: str) -> Column:
+    """Whether a record has a field path: for a list, whether it is empty or one of its elements has the field."""
+    if "[]" not in path:
+        return F.try_variant_get(doc, f"$.{path}", "variant").isNotNull()
+    array, field = path.split("[].")
+    items = F.try_variant_get(doc, f"$.{array}", "array<variant>")
+    here = F.exists(items, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull())
+    return F.coalesce((F.size(items) == 0) | here, F.lit(False))
 
 
 def turns_of_records(df: DataFrame, payload: str, out: str = "turns", fingerprint: str = "layout") -> DataFrame:
     """Adds canonical turns and the layout fingerprint from JSON records of mixed layouts.
 
-    The paths come from the record itself (``schema_of_variant``). A null or malformed record, or one of an unknown
-    layout, has null turns and keeps its fingerprint, so that it can be counted and mapped later.
+    The fingerprint is the hash of those field paths of the record that some mapping reads (``KNOWN``), so ids, weights
+    and other fields beside them change nothing. An empty list has no turns. A message without its text field has an
+    empty text; a text that is a list of blocks becomes their texts by lines. A null or malformed record, or one of an
+    unknown layout, has null turns; its fingerprint is the hash of its whole type, so that it can be counted and mapped.
     """
-    doc = F.try_parse_json(payload)
-    kind = F.schema_of_variant(doc)
-    # OBJECT<a: ARRAY<OBJECT<b: STRING>>> -> a[].b ; scalar kinds do not matter, a null or missing value counts as text
-    flat = F.regexp_replace(F.regexp_replace(kind, r"^OBJECT<|>$", ""), r": (STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\))", "")
-    flat = F.regexp_replace(flat, r"(\w+): ARRAY<OBJECT<(\w+), (\w+)>>", "$1[].$2, $1[].$3")
-    df = df.withColumn("__doc", doc).withColumn("__paths", F.array_join(F.array_sort(F.split(flat, ", ")), "|"))
-    df = df.withColumn(fingerprint, F.sha2("__paths", 256))
+    df = df.withColumn("__doc", F.try_parse_json(payload))
+    doc = F.col("__doc")
+    df = df.withColumn("__paths", F.array_join(F.array_compact(F.array(*[F.when(_has(doc, p), p) for p in KNOWN])), "|"))
+    known, whole = F.sha2("__paths", 256), F.sha2(F.schema_of_variant(doc), 256)
+    df = df.withColumn(fingerprint, F.when(known.isin(*MAPPINGS), known).otherwise(whole))
     result = F.lit(None).cast(f"array<{TURN}>")
     for fp, layout in MAPPINGS.items():
         turns = []
         for role, path in layout["turns"]:
             if role == "*":
                 array, r, t = path.split(":")
-                got = F.try_variant_get("__doc", f"$.{array}", f"array<struct<{r}:string,{t}:string>>")
-                made = F.transform(got, _picked(r, t))
-                break
-            parts = [F.try_variant_get("__doc", f"$.{p}", "string") for p in path.split("+")]
-            turns.append(_turn(F.lit(role), _joined(parts) if len(parts) > 1 else parts[0]))
-        else:
-            made = F.array(*turns)
-        result = F.when(F.col(fingerprint) == fp, made).otherwise(result)
+                items = F.try_variant_get(doc, f"$.{array}", "array<variant>")
+                turns.append(F.transform(items, _message(r, t)))
+                continue
+            parts = [_variant_text(F.try_variant_get(doc, f"$.{p}", "variant")) for p in path.split("+")]
+            turns.append(F.array(_turn(F.lit(role), _joined(parts) if len(parts) > 1 else parts[0])))
+        result = F.when(F.col(fingerprint) == fp, F.concat(*turns)).otherwise(result)
     return df.withColumn(out, result).drop("__doc", "__paths")
 
 
