@@ -2,8 +2,8 @@
 
 Everything is DataFrame work. A URL's tokens are its host labels and their hyphen parts (``h:``) and its path words
 without numbers (``p:``). FP-growth runs over the labelled URLs' tokens plus the label; rules whose support and
-confidence reach the bounds and that tell more than the base rate stay. To match, each rule is posted under its
-rarest token; a URL meets only the rules posted under its own tokens and keeps those it contains whole. Distinct
+confidence reach the bounds and that tell more than the base rate stay. Tokens that always occur together are mined
+as one. To match, each rule is posted under its rarest token; a URL meets only the rules posted under its own tokens and keeps those it contains whole. Distinct
 token sets are matched once, so the URLs of one site cost one match.
 """
 
@@ -47,30 +47,59 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return out
 
 
+def interchangeable(items: DataFrame, column: str = "items", number: str = "row") -> DataFrame:
+    """(token, root, members): tokens that stand in the same rows form a class; its root is the smallest of them.
+
+    Rows are compared by their number and two 64-bit hashes of all row numbers. The label is in no class.
+    """
+    row = F.col(number)
+    sums = (F.count(F.lit(1)), F.bit_xor(F.xxhash64(row)), F.bit_xor(F.xxhash64(row, F.lit(1))))
+    each = items.select(number, F.explode(column).alias("token")).filter(F.col("token") != BAD).groupBy("token").agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)])
+    classes = each.groupBy("s0", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return classes.select(F.explode("members").alias("token"), F.col("members")[0].alias("root"), "members")
+
+
 def mine_rules(labelled: DataFrame, tokens: str = "tokens", bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2) -> DataFrame:
-    """Rules (antecedent array, confidence, support, lift) that foretell a bad URL. No labelled row: no rule.
+    """Rules (antecedent array, confidence, support, lift, classes) that foretell a bad URL. No labelled row: no rule.
 
-    Rows without tokens, with a null label, or none of whose tokens is frequent take no part in a rule.
+    Tokens that always occur together are mined as one, so a long template of URLs makes one item and not all subsets
+    of its words. ``antecedent`` holds the roots, ``classes`` for each root the tokens that may stand for it: any
+    choice of one per class has the same support and confidence. Rows without tokens, with a null label, or none of
+    whose tokens is frequent take no part in a rule.
     """
     from pyspark.ml.fpm import FPGrowth
 
     items = labelled.filter(F.col(bad).isNotNull()).select(F.array_distinct(F.concat(F.col(tokens), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))).alias("items"))
-    items = materialize(items.filter(F.size("items") > 0), "labelled_urls")
-    empty = items.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double")
+    items = materialize(items.filter(F.size("items") > 0).withColumn("row", F.monotonically_increasing_id()), "labelled_urls")
+    empty = items.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double, classes array<array<string>>")
     if items.isEmpty():
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    classes = materialize(interchangeable(items), "token_classes")
+    root = items.select("row", F.explode("items").alias("token")).join(classes, "token", "left").select("row", F.coalesce("root", "token").alias("item"))
+    merged = root.groupBy("row").agg(F.collect_set("item").alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(merged)
     found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
-    return materialize(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"), "url_rules")
+    found = materialize(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"), "url_rules")
+    members = classes.filter("token = root").select("root", "members")
+    wide = found.select("antecedent", F.explode("antecedent").alias("root")).join(members, "root").groupBy("antecedent").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("root", "members"))), lambda x: x["members"]).alias("classes"))
+    return materialize(found.join(wide, "antecedent"), "url_rules_wide")
 
 
 def match_rules(sets: DataFrame, rules: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(tokens, confidence, antecedent) of distinct token sets that hold a rule whole: the most confident rule."""
-    counts = rules.select(F.explode("antecedent").alias("token")).groupBy("token").count()
-    each = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token")
-    index = each.groupBy("antecedent").agg(F.first("confidence").alias("confidence"), F.min_by("token", F.struct("count", "token")).alias("token"))
-    hits = sets.select(tokens, F.explode(tokens).alias("token")).join(index, "token").filter(F.size(F.array_except("antecedent", tokens)) == 0)
-    return hits.groupBy(tokens).agg(F.max(F.struct(F.col("confidence"), -F.size("antecedent"), F.col("antecedent"))).alias("m")).select(tokens, "m.confidence", "m.antecedent")
+    """(tokens, confidence, antecedent) of distinct token sets that hold a rule whole: the most confident rule.
+
+    A rule is posted under every token of its rarest class; ``antecedent`` names the last token of each class in the set.
+    """
+    counts = rules.select(F.explode("antecedent").alias("root")).groupBy("root").count()
+    each = rules.select("antecedent", "confidence", "classes", F.inline(F.arrays_zip(F.col("antecedent").alias("root"), F.col("classes").alias("members")))).join(counts, "root")
+    index = each.groupBy("antecedent").agg(F.first("confidence").alias("confidence"), F.first("classes").alias("classes"), F.min_by("members", F.struct("count", "root")).alias("members"))
+    index = index.select("confidence", "classes", F.explode("members").alias("token"))
+    met = sets.select(tokens, F.explode(tokens).alias("token")).join(index, "token")
+    hits = met.filter(F.forall("classes", lambda c: F.arrays_overlap(c, F.col(tokens))))
+    named = F.array_sort(F.transform("classes", lambda c: F.array_max(F.array_intersect(c, F.col(tokens)))))
+    best = F.max(F.struct(F.col("confidence"), -F.size("classes"), named.alias("named"))).alias("m")
+    return hits.groupBy(tokens).agg(best).select(tokens, "m.confidence", F.col("m.named").alias("antecedent"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, url: str = "url", **mining) -> DataFrame:
