@@ -39,7 +39,7 @@ VALUES = {
     "tax_id": (CUST, "select concat('12-', lpad(cast(c_custkey as varchar), 7, '0')) as value from customer union all select lpad(cast(c_custkey as varchar), 11, '5') from customer"),
     "passport_number": (CUST, "select concat('P', lpad(cast(c_custkey as varchar), 8, '3')) as value from customer"),
     "drivers_license": (CUST, "select concat('D-x', lpad(cast(c_custkey as varchar), 7, '3')) as value from customer"),
-    "national_id": (CUST, "select concat('1234 ', lpad(cast(c_custkey as varchar), 6, '0')) as value from customer union all select concat('ATU', lpad(cast(c_custkey as varchar), 8, '6')) from customer"),
+    "national_id": (CUST, "select concat('1234 ', lpad(cast(c_custkey as varchar), 6, '0')) as value from customer union all select concat('ATU', lpad(cast(c_custkey as varchar), 8, '6')) from customer union all select concat('LX', lpad(cast(c_custkey as varchar), 8, '4')) from customer"),
     "case_number": (ORD, "select concat('1:23-cv-', lpad(cast(o_orderkey % 100000 as varchar), 5, '0')) as value from orders union all select concat('US', lpad(cast(o_orderkey as varchar), 8, '1'), 'B2') from orders"),
     "cryptocurrency_address": (PART, "select concat('0x', substring(concat(md5(cast(p_partkey as varchar)), md5('x')), 1, 40)) as value from part union all select concat('bc1', substring(concat(md5(cast(p_partkey as varchar)), md5('x')), 1, 40)) from part"),
     "aws_arn": (PART, "select concat('arn:aws:iam::', lpad(cast(p_partkey as varchar), 12, '7'), ':role/part-', cast(p_partkey as varchar)) as value from part union all select lpad(cast(p_partkey as varchar), 12, '4') from part"),
@@ -72,8 +72,16 @@ def dchar(pool, n):
     return f"substr({q(pool)}, cast(({n}) % {len(pool)} as int) + 1, 1)"
 
 
-DSHAPE = (f"array_to_string(list_transform(string_split(value, ''), lambda c, i: case when c between 'A' and 'Z' then {dchar(K.UPPER_POOL, dbyte('i - 1'))} "
-          f"when c between 'a' and 'z' then {dchar(K.LOWER_POOL, dbyte('i - 1'))} when c between '0' and '9' then cast({dnib('i - 1')} % 10 as varchar) else c end), '')")
+def dmoved(first, size, number):
+    return f"chr(cast({ord(first)} + (ascii(c) - {ord(first)} + 1 + {number} % {size - 1}) % {size} as int))"
+
+
+def dshape(upper):
+    return (f"array_to_string(list_transform(string_split(value, ''), lambda c, i: case when c between 'A' and 'Z' then {upper} "
+            f"when c between 'a' and 'z' then {dmoved('a', 26, dbyte('i - 1'))} when c between '0' and '9' then {dmoved('0', 10, dbyte('i - 1'))} else c end), '')")
+
+
+DSHAPE = dshape(dmoved("A", 26, dbyte("i - 1")))
 
 
 def dpool(pool, n):
@@ -140,7 +148,7 @@ def axis(number, most):
 
 ROUTE_IN = ", ".join(q(w) for w in K.ROUTE_KEEP)
 HOST_KEPT = ", ".join(q(w) for w in K.ROLE_KEYWORDS + K.TIER_KEYWORDS)
-SIMPLE = f"{pk(K.FAKE_SITES, 'seed // 8')} || '-' || {pk(K.HOSTNAME_ROLES, 'seed')} || '-' || {d2('seed % 99 + 1')}"
+SIMPLE = f"{pk(K.FAKE_SITES, 'seed // 10')} || '-' || {pk(K.HOST_NOUNS, 'seed')} || '-' || {d2('seed % 99 + 1')}"
 DUCK = {
     "credit_card": f"case when contains(value, '-') then substr({CARD}, 1, 4) || '-' || substr({CARD}, 5, 4) || '-' || substr({CARD}, 9, 4) || '-' || substr({CARD}, 13, 4) else {CARD} end",
     "ssn": "'9' || substr(d, 1, 2) || '-' || substr(d, 3, 2) || '-' || substr(d, 5, 4)",
@@ -165,7 +173,7 @@ DUCK = {
     "bank_account_number": f"case when starts_with(value, 'DEUT') and length(value) = 8 then {pk(K.BANKS, 'seed')} || 'DE' || upper(substr(h, 1, 2)) when contains(value, '-') then substr(d, 1, 2) || '-' || substr(d, 3, 2) || '-' || substr(d, 5, 2) else substr(d, 1, 9) end",
     "tax_id": "case when contains(value, '-') then substr(d, 1, 2) || '-' || substr(d, 3, 7) else substr(d, 1, 11) end",
     "passport_number": DSHAPE, "drivers_license": DSHAPE,
-    "national_id": f"case when contains(value, ' ') then substr(d, 1, 4) || ' ' || substr(d, 5, 6) else {DSHAPE} end",
+    "national_id": f"case when regexp_full_match(value, '[CFGHJKLMNPRTVWXYZ0-9]{{9,10}}') then {dshape(dchar(K.CARD_LETTERS, dbyte('i - 1')))} else {DSHAPE} end",
     "case_number": "case when contains(value, ':') then substr(d, 1, 1) || ':' || substr(d, 3, 2) || '-cv-' || substr(d, 5, 5) else 'US' || substr(d, 1, 8) || 'B2' end",
     "cryptocurrency_address": f"case when starts_with(value, '0x') then '0x' || substr(h, 1, 40) else 'bc1' || {dpool(K.BECH32, '40')} end",
     "aws_arn": "case when starts_with(value, 'arn:') then 'arn:aws:iam::' || substr(d, 1, 12) || ':role/item-' || substr(h, 1, 10) else substr(d, 1, 12) end",
@@ -245,6 +253,32 @@ def mint_ipv4(spark, sf_dir):
     return minted.select(F.col("real").alias("value"), "fake")
 
 
+V6_VALUES = "select concat('2001:470:', substring(md5(cast(c_custkey as varchar)), 1, 4), '::', cast(1 + c_custkey % 9 as varchar)) as value from customer"
+
+
+@query("mint_ipv6", f"select value, 'fd00:' || " + " || ':' || ".join(f"substr(h, {5 + 4 * i}, 4)" for i in range(7)) + f""" as fake
+ from {material_duck(f"(select distinct value, 'ip_address' as category from ({V6_VALUES}) v)")} m""")
+def mint_ipv6(spark, sf_dir):
+    values = C.corpus(spark, sf_dir, V6_VALUES, (CUST,)).distinct().select(F.lit("").alias("tenant"), "value", F.lit("ip_address").alias("category"))
+    minted, _ = M.mint(values, KEYS, S.learn_subnets(net_docs(spark, sf_dir)), categories=["ip_address"])
+    return minted.select(F.col("real").alias("value"), "fake")
+
+
+DNS_VALUES = """select concat('core-SW-', lpad(cast(s_suppkey % 1000 as varchar), 3, '0'), '.dc1.Prod.acme-', cast(s_nationkey as varchar), '.com') as value from supplier
+ union all select concat('db', cast(s_suppkey as varchar), '.Team', cast(s_nationkey as varchar), '.qa') from supplier"""
+
+
+@query("mint_dns_host", f"""select value, case when ends_with(value, '.com')
+   then 'core-SW-' || {d2('seed % 99 + 1', 3)} || '.dc1.Prod.' || {dorg("'acme-' || regexp_extract(value, 'acme-([0-9]+)', 1)")} || '.com'
+   else lower({pk(K.HOST_NOUNS, 'seed')}) || '.' || {dorg("'team' || regexp_extract(value, 'Team([0-9]+)', 1)")} || '.qa' end as fake
+ from {material_duck(f"(select distinct value, 'hostname' as category from ({DNS_VALUES}) v)")} m""")
+def mint_dns_host(spark, sf_dir):
+    """Dotted names: what says the kind of host or its environment stays, who runs it goes."""
+    values = C.corpus(spark, sf_dir, DNS_VALUES, (SUPP,)).distinct().select(F.lit("").alias("tenant"), "value", F.lit("hostname").alias("category"))
+    minted, _ = M.mint(values, KEYS, categories=["hostname"])
+    return minted.select(F.col("real").alias("value"), "fake")
+
+
 @query("mint_second_batch", f"""{ALLOC}, {NET_VALUES}, hit as (select value, n, arg_max({{}}, prefix_len) as fake from nums join alloc on n - n % (1::bigint << (32 - prefix_len)) = real_net group by value, n),
  rest as (select value, n, dense_rank() over (order by n - n % 256) - 1 as net from nums where value not in (select value from hit)),
  used as (select coalesce(sum(1::bigint << (32 - prefix_len)), 0) as total from known),

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-HEX = "0123456789abcdef"
-UPPER_POOL = "ABCDEFGHJKLMNPRSTUVWXYZ"
-LOWER_POOL = "abcdefghjklmnprstuvwxyz"
-
-
 def strip_chat_links(text: Column) -> Column:
     """Chat mark-up back to plain text: mail links to their label, web links to their address."""
     text = F.regexp_replace(text, r"<mailto:[^|>]+\|([^>]*)>", "$1")
@@ -22,57 +17,6 @@ def wildcard_to_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?is)^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
-def digit_stream(hash_hex: Column) -> Column:
-    """Hex digits to decimal digits."""
-    return F.translate(hash_hex, "abcdef", "012345")
-
-
-def hex_value(hash_hex: Column, index: Column) -> Column:
-    """Value 0-15 of the hex digit at a zero-based index (cyclic over the 64 digits)."""
-    return F.instr(F.lit(HEX), F.substring(hash_hex, F.pmod(index, F.lit(64)).cast("int") + 1, F.lit(1))) - 1
-
-
-def byte_value(hash_hex: Column, index: Column) -> Column:
-    """Value 0-255 of the hex pair number ``index`` (cyclic)."""
-    return hex_value(hash_hex, index * 2) * 16 + hex_value(hash_hex, index * 2 + 1)
-
-
-def char_at(pool: str, index: Column) -> Column:
-    return F.substring(F.lit(pool), F.pmod(index, F.lit(len(pool))).cast("int") + 1, F.lit(1))
-
-
-def shape_map(original: Column, hash_hex: Column) -> Column:
-    """Letters to letters of the same case, digits to digits, everything else kept in place."""
-
-    def one(c: Column, i: Column) -> Column:
-        return (
-            F.when(c.between("A", "Z"), char_at(UPPER_POOL, byte_value(hash_hex, i)))
-            .when(c.between("a", "z"), char_at(LOWER_POOL, byte_value(hash_hex, i)))
-            .when(c.between("0", "9"), F.pmod(hex_value(hash_hex, i), F.lit(10)).cast("string"))
-            .otherwise(c)
-        )
-
-    return F.array_join(F.transform(F.split(original, ""), one), "")
-
-
-def pool_text(pool: str, hash_hex: Column, length: Column) -> Column:
-    """``length`` characters of an alphabet chosen by the hash."""
-    chars = F.transform(
-        F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), lambda i: char_at(pool, byte_value(hash_hex, i))
-    )
-    return F.array_join(chars, "")
-
-
-def pick(words: list[str], number: Column) -> Column:
-    """Word of a fixed list chosen by a number."""
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(number, F.lit(len(words))) + 1).cast("int"))
-
-
-def idiv(number: Column, divisor: int) -> Column:
-    """Exact integer division of a non-negative BIGINT."""
-    return ((number - F.pmod(number, F.lit(divisor))) / divisor).cast("bigint")
-
-
 def redact_masked(value: Column, category: Column) -> Column:
     """Partial mask by category; four characters or fewer are masked whole."""
     n = F.length(value)
