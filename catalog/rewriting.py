@@ -186,7 +186,21 @@ def ip_residual(spark, sf_dir):
     return S.residual_v4(found, net_subnets(spark, sf_dir)).select("doc_id", "value", "repl")
 
 
-@query("restore_derived")
+D_RANGES = f"""{ALLOC}, d as ({DERIVED}), own as (select max(c_custkey) as k, '100.64.7.' || cast(c_custkey % 256 as varchar) as value from customer group by 2),
+ hops as (select doc_id, regexp_extract(text, 'hop (100[.]64[.][0-9]+[.][0-9]+)', 1) as value from d), nums as (select doc_id, value, {IP_INT.format('value')} as n from hops),
+ parts as (select distinct '100.64.' || cast(doc_id % 5 as varchar) || '.x/24' as value, {IP_INT.format("'100.64.0.0'")} + doc_id % 5 * 256 as low, {IP_INT.format("'100.64.0.0'")} + doc_id % 5 * 256 + 255 as high from d
+  union all select '100.64.0.0/10', {S.POOL_BASE}, {S.POOL_BASE + S.POOL_SIZE - 1}),
+ owned as (select value, real_net >> 16 as net, sum(least(high, fake_net + (1::bigint << (32 - prefix_len)) - 1) - greatest(low, fake_net) + 1) as w from parts join alloc on fake_net <= high and fake_net + (1::bigint << (32 - prefix_len)) > low group by 1, 2),
+ usual as (select arg_max(net, (w, -net)) as net from owned where value = '100.64.0.0/10'),
+ best as (select p.value, coalesce(arg_max(o.net, (o.w, -o.net)), max(u.net)) as net from parts p left join owned o on o.value = p.value, usual u group by p.value),
+ said as (select value, cast(net >> 8 as varchar) || '.' || cast(net & 255 as varchar) || replace(substr(value, 7), '/10', '/16') as repl from best)
+ select doc_id, 'known' as kind, hops.value, c_name as repl from hops join own on own.value = hops.value join customer on c_custkey = k
+ union all select doc_id, 'residual_v4', value, arg_max({QUADS.format('(real_net + n - cast(fake_net as bigint))')}, prefix_len) from nums join alloc on n - n % (1::bigint << (32 - prefix_len)) = fake_net
+  where value not in (select value from own) group by doc_id, value
+ union all select doc_id, 'range', value, repl from d join said on value in ('100.64.' || cast(doc_id % 5 as varchar) || '.x/24', '100.64.0.0/10')"""
+
+
+@query("restore_derived", D_RANGES)
 def restore_derived(spark, sf_dir):
     docs = C.docs_of(C.corpus(spark, sf_dir, DERIVED, ("supplier",)))
     mapping = C.table(spark, sf_dir, "customer").select(

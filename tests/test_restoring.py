@@ -97,3 +97,21 @@ def test_string_places_name_every_string():
         text = json.dumps(v, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1]))
         got = list(string_places(text))
         assert [(p, x) for p, _, _, x in got] == list(leaves(v, "")) and all(json.loads(text[a:b]) == x for _, a, b, x in got)
+
+
+def test_range_descriptions(spark):
+    """Against a plain count of addresses, block by block; what is no description is left alone."""
+    from veilframe.operators import subnets as S
+
+    base = S.POOL_BASE
+    blocks = [("a", 10 * 2**24, 14, base), ("a", 172 * 2**24 + 16 * 2**16, 24, base + 2**18), ("a", 192 * 2**24 + 168 * 2**16, 26, base + 2**18 + 256),
+              ("a", 192 * 2**24 + 169 * 2**16, 25, base + 2**18 + 384), ("b", 20 * 2**24, 24, S.SPILL_BASE), ("b", 30 * 2**24, 24, None)]
+    subnets = spark.createDataFrame(blocks, "tenant string, real_net bigint, prefix_len int, fake_net bigint")
+    expected = {
+        "100.64.3.x/24": "10.0.3.x/24", "100.66.x.x": "10.2.x.x", "100.68.0.x": "172.16.0.x", "100.68.1.X/xx": "192.169.1.X/xx", "100.68.0-1.x": "172.16.0-1.x",
+        "100.68.1.0-70": "192.168.1.0-70", "100.68.1.120-255": "192.169.1.120-255", "100.64.0.0/10": "10.0.0.0/16", "100.65": "10.1", "100.67/12": "10.0/16",
+        "100.127.9.x": "10.0.9.x", "100.64.3.7": None, "100.64.3.0/24": None, "100.64.300.x": None, "100.64.9-3.x": None, "100.64.3.x/40": None}
+    found = spark.createDataFrame([(t, i, v) for t in "ab" for i, v in enumerate(expected)], "tenant string, doc_id bigint, value string")
+    got = {(r.tenant, r.value): r.repl for r in S.residual_ranges(found, subnets).collect()}
+    assert got == {("a", v): r for v, r in expected.items() if r is not None}
+    assert S.residual_ranges(found, subnets.limit(0)).count() == 0

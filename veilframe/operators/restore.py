@@ -9,7 +9,7 @@ from veilframe.operators.detect import claim_spans, expand_matches
 from veilframe.operators.literals import all_places, match_literals
 from veilframe.operators.mapping import reverse_map
 from veilframe.operators.rewrite import own_ids, own_rows, splice
-from veilframe.operators.subnets import FAKE_ADDRESS, FAKE_RANGE, FAKE_V6, residual_ranges, residual_v4
+from veilframe.operators.subnets import FAKE_ADDRESS, FAKE_RANGE, FAKE_V6, WIDE_PREFIX, residual_ranges, residual_v4
 
 
 def fake_hits(docs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -97,7 +97,8 @@ def restore_derived(docs: DataFrame, mapping: DataFrame, subnets: DataFrame | No
     v6 = residual_v6(_found(docs, FAKE_V6, 0, F.lower("text").contains("fd00")), mapping)
     kinds.append(v6.select("tenant", "doc_id", "value", "start", "end", "repl", F.lit(2).alias("prio")))
     if subnets is not None:
-        v4 = residual_v4(_found(docs, FAKE_ADDRESS, 1, F.col("text").rlike(r"\d\.\d")), subnets)
+        single = FAKE_ADDRESS + (WIDE_PREFIX if ranges else "")
+        v4 = residual_v4(_found(docs, single, 1, F.col("text").rlike(r"\d\.\d")), subnets)
         kinds.append(v4.select("tenant", "doc_id", "value", "start", "end", "repl", F.lit(1).alias("prio")))
         if ranges:
             wide = residual_ranges(_found(docs, FAKE_RANGE, 0, F.col("text").contains("100.")), subnets)

@@ -114,6 +114,7 @@ def allocate_subnets(subnets: DataFrame, existing: DataFrame | None = None) -> D
 
 FAKE_ADDRESS = (r"(?<!\w)((?:100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])|2(?:4\d|5[0-5])\.\d{1,3})"
                 r"\.\d{1,3}\.\d{1,3})(?!\w)")
+WIDE_PREFIX = r"(?!/(?:[89]|1[0-5])(?!\d))"  # an address before a wide prefix begins a description
 FAKE_RANGE = (r"(?i)(?<!\d\.)(?<!\d)(?<!\w)100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])(?:\.[\dx]+(?:-[\dx]+)?"
               r"(?:\.[\dx]+(?:-[\dx]+)?)?)?(?:/[\dx]+(?:-[\dx]+)?)?(?!\w)")
 FAKE_V6 = (r"(?i)(?:^|(?<=[\s,;=(\[]))fd00(?::[0-9a-f]{1,4}){0,7}(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?(?=$|[\s,;)\]/])")
@@ -136,22 +137,63 @@ def residual_v4(found: DataFrame, subnets: DataFrame) -> DataFrame:
     return found.join(hit.select("tenant", "value", int_to_ip(F.col("real_ip")).alias("repl")), ["tenant", "value"])
 
 
+def described(value: Column) -> Column:
+    """Addresses that a description like ``100.64.3.x/24``, ``100.64.0-9`` or ``100.64.0.0/10`` covers, as (low, high).
+
+    Missing octets and those with an ``x`` are open.  Null for whole addresses, alone or with a prefix of 16 or more:
+    those are addresses or networks, not descriptions.  Null where a number cannot be part of an address.
+    """
+    octets = F.split(F.substring_index(value, "/", 1), "[.]")
+    length = F.regexp_extract(value, r"/(\d+)$", 1).try_cast("int")
+
+    def end(i: int, at: int, missing: int) -> Column:
+        part = F.element_at(F.split(F.get(octets, F.lit(i)), "-"), at)
+        return F.when(part.isNull() | F.lower(part).contains("x"), F.lit(missing)).otherwise(part.try_cast("int"))
+
+    lows, highs = [end(i, 1, 0) for i in (1, 2, 3)], [end(i, -1, 255) for i in (1, 2, 3)]
+    possible = F.coalesce(length, F.lit(16)).between(MIN_PREFIX, 32)
+    for low, high in zip(lows, highs):
+        possible = possible & (low <= high) & (high <= 255)
+    whole = (F.size(octets) == 4) & ~F.lower(value).rlike("[x-]") & (F.coalesce(length, F.lit(32)) >= 16)
+    low, high = (sum((e.cast("bigint") * 256 ** (2 - i) for i, e in enumerate(ends)), F.lit(100 * 2**24)) for ends in (lows, highs))
+    size = F.coalesce(length, F.lit(32))
+    return F.when(possible & ~whole, F.struct(network_of(low, size).alias("low"), (network_of(high, size) + F.pow(F.lit(2), F.lit(32) - size).cast("bigint") - 1).alias("high")))
+
+
 def residual_ranges(found: DataFrame, subnets: DataFrame) -> DataFrame:
-    """Descriptions of the fake range (``100.64.3.x/24``, ``100.64.0.0/10``) rewritten with a real /16.
+    """Descriptions of the fake range moved to the real /16 that owns most addresses of what they describe.
 
-    The fake subnet with the same third octet gives the /16; otherwise the most common one.  Text whose
-    numbers would leave 0-255 is left alone (no row).  Adds ``repl``.
+    Where no fake block meets the described addresses, the /16 that owns most of the tenant's blocks is taken; ties go
+    to the lowest.  The first two octets are replaced and a prefix below 16 becomes 16; the rest stays as written.
+    Whole addresses, impossible numbers and tenants without a block get no row.  Adds ``repl``.
+
+    Blocks are cut at the borders of /16 and /24 bins, and descriptions meet the bins they cover by equality: at most 64
+    sums of a /16 bin where they are wide, else at most 256 bins that hold at most 64 blocks each.
     """
-    pair = F.concat_ws(".", F.shiftright("real_net", 24).cast("string"), F.shiftright("real_net", 16).bitwiseAND(F.lit(255)).cast("string"))
-    base = subnets.filter("fake_net is not null").withColumn("pair", pair).withColumn("third", F.shiftright("fake_net", 8).bitwiseAND(F.lit(255)).cast("int"))
-    common = base.groupBy("tenant", "pair").count().groupBy("tenant").agg(F.max_by("pair", F.struct("count", "pair")).alias("c_pair"))
-    plen = base.groupBy("tenant", "prefix_len").count().groupBy("tenant").agg(F.max_by("prefix_len", F.struct("count", -F.col("prefix_len"))).alias("c_len"))
-    by_third = base.groupBy("tenant", "third").agg(F.min_by(F.struct("pair", "prefix_len"), F.col("fake_net")).alias("t"))
-    third = F.regexp_extract("value", r"^\d+\.\d+\.(\d+)", 1).try_cast("int")
-    rows = (found.withColumn("third", third).join(by_third, ["tenant", "third"], "left").join(common, "tenant").join(plen, "tenant"))
-    rows = rows.withColumns({"p": F.coalesce("t.pair", "c_pair"), "l": F.coalesce("t.prefix_len", "c_len").cast("string")})
-    moved = "concat(p, regexp_replace(value, '^100[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])', ''))"
-    rows = rows.withColumn("repl", F.expr(
-        f"regexp_replace(regexp_replace({moved}, '/10(?![0-9A-Za-z_])', concat('/', l)), '(?i)/xx(?![0-9A-Za-z_])', concat('/', l))"))
-    numbers = F.slice(F.regexp_extract_all("repl", F.lit(r"(?<!\w)\d{1,3}(?!\w)"), F.lit(0)), 1, 4)
-    return rows.filter(F.forall(numbers, lambda n: n.cast("int") <= 255)).drop("third", "t", "c_pair", "c_len", "p", "l")
+    size = F.pow(F.lit(2), F.lit(32) - F.col("prefix_len")).cast("bigint")
+    parts = subnets.filter(F.col("fake_net").between(POOL_BASE, POOL_BASE + POOL_SIZE - 1)).select(
+        "tenant", "fake_net", "real_net", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1, F.lit(65536).cast("bigint"))).alias("at"))
+    parts = parts.select(
+        "tenant", (F.col("fake_net") + F.col("at")).alias("b_low"), (F.col("fake_net") + F.col("at") + F.least("size", F.lit(65536)) - 1).alias("b_high"),
+        F.shiftright(F.col("real_net") + F.col("at"), 16).alias("net16"))
+    sums = parts.groupBy("tenant", F.shiftright("b_low", 16).alias("bin"), "net16").agg(F.sum(F.col("b_high") - F.col("b_low") + 1).alias("weight"))
+    fine = parts.select("tenant", "b_low", "b_high", "net16", F.explode(F.sequence(F.shiftright("b_low", 8), F.shiftright("b_high", 8))).alias("bin"))
+    best = F.max_by("net16", F.struct("weight", -F.col("net16"))).alias("net16")
+    usual = sums.groupBy("tenant", "net16").agg(F.sum("weight").alias("weight")).groupBy("tenant").agg(best).withColumnRenamed("net16", "usual")
+
+    asked = found.select("tenant", "value").distinct().withColumn("span", described(F.col("value"))).filter("span is not null")
+    asked = asked.select("tenant", "value", F.greatest("span.low", F.lit(POOL_BASE)).alias("low"), F.least("span.high", F.lit(POOL_BASE + POOL_SIZE - 1)).alias("high"))
+    wide = F.col("high") - F.col("low") >= 65535
+    coarse = asked.filter(wide).withColumn("bin", F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16)))).join(sums, ["tenant", "bin"])
+    near = asked.filter(~wide).withColumn("bin", F.explode(F.sequence(F.shiftright("low", 8), F.shiftright("high", 8)))).join(fine, ["tenant", "bin"])
+    start = F.shiftleft("bin", 8)
+    weight = F.least("high", "b_high", start + 255) - F.greatest("low", "b_low", start) + 1
+    near = near.withColumn("weight", weight).filter("weight > 0")
+    owner = (coarse.select("tenant", "value", "net16", "weight").unionByName(near.select("tenant", "value", "net16", "weight"))
+             .groupBy("tenant", "value", "net16").agg(F.sum("weight").alias("weight")).groupBy("tenant", "value").agg(best))
+    moved = asked.join(usual, "tenant").join(owner, ["tenant", "value"], "left").withColumn("net16", F.coalesce("net16", "usual"))
+    length = F.regexp_extract("value", r"/(\d+)$", 1).try_cast("int")
+    rest = F.regexp_replace("value", r"^100[.]\d+", "")
+    rest = F.when(length < 16, F.regexp_replace(rest, r"/\d+$", "/16")).otherwise(rest)
+    pair = F.concat_ws(".", F.shiftright("net16", 8).cast("string"), F.col("net16").bitwiseAND(F.lit(255)).cast("string"))
+    return found.join(moved.select("tenant", "value", F.concat(pair, rest).alias("repl")), ["tenant", "value"])
