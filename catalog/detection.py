@@ -305,9 +305,24 @@ def page_docs(spark, sf_dir):
     return spread(as_docs(C.table(spark, sf_dir, "pages").withColumn("text", F.replace("html", F.lit(">"), F.lit(">\n"))), "page_id"))
 
 
-@query("code_spans")
+RE2_SPANS = [R.Rule(f"span{i}", "span", 1.0, "", p.replace("*+", "*")) for i, p in enumerate(code.SPAN_PATTERNS)]
+
+
+def spans_sql(docs):
+    """Literals and comments (doc_id, value, s, e) of texts that look like code."""
+    signs = " + ".join(f"cast(contains(text, {q(s)}) as int)" for s in code.CODE_INDICATORS)
+    looks = (f"length(text) - length(replace(text, chr(10), '')) >= 2 and {signs} + cast(regexp_matches(text, '(?m)[{{}};][ \\t\\r\\n\\v\\f]*$') as int)"
+             " + cast(regexp_matches(text, '(?m)^\\s*(def|class|func|fn)\\s+\\w+') as int) >= 2")
+    return (f"with recursive {entities_sql(f'select doc_id, text from ({docs}) c where {looks}', RE2_SPANS, True)} "
+            f"select doc_id, value, cast(s as bigint) as s, e from ents where not regexp_matches(value, {q(code.CODE_NOISE)})")
+
+
+D_PAGES = "select page_id as doc_id, replace(html, '>', '>' || chr(10)) as text from pages where html is not null"
+
+
+@query("code_spans", f"select doc_id, value, s as start_at, cast(e as bigint) as end_at from ({spans_sql(D_PAGES)}) z")
 def code_spans(spark, sf_dir):
-    return code.code_spans(page_docs(spark, sf_dir)).select("doc_id", "value", "start", "end")
+    return code.code_spans(page_docs(spark, sf_dir)).select("doc_id", "value", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"))
 
 
 @query("code_score", f"""select page_id as doc_id, cast({' + '.join('cast(contains(text, ' + q(s) + ') as int)' for s in code.CODE_INDICATORS)}
@@ -317,10 +332,27 @@ def code_score(spark, sf_dir):
     return page_docs(spark, sf_dir).select("doc_id", F.expr(code.code_score()).cast("bigint").alias("score"))
 
 
+def code_docs(spark, sf_dir):
+    """Secrets as string literals of a program."""
+    return secret_docs(spark, sf_dir).withColumn("text", F.concat(F.lit("import os\nconst a = 1;\nx = \""), F.replace("text", F.lit("\n"), F.lit("\"\ny = \"")), F.lit("\"\n")))
+
+
 @query("detect_in_code")
 def detect_in_code(spark, sf_dir):
-    docs = secret_docs(spark, sf_dir).withColumn("text", F.concat(F.lit("import os\nconst a = 1;\nx = \""), F.replace("text", F.lit("\n"), F.lit("\"\ny = \"")), F.lit("\"\n")))
-    return shaped(code.detect_in_code(docs, R.family("core", "keys", "cloud")))
+    return shaped(code.detect_in_code(code_docs(spark, sf_dir), R.family("core", "keys", "cloud")))
+
+
+CODE_RULES = plain(R.family("core", "keys", "cloud"))
+D_CODE = f"""select doc_id, 'import os' || chr(10) || 'const a = 1;' || chr(10) || 'x = "' || replace(text, chr(10), '"' || chr(10) || 'y = "') || '"' || chr(10) as text from ({D_SECRET}) s"""
+
+
+@query("detect_in_code_plain", f"""with spans as ({spans_sql(D_CODE)}),
+ found as (with recursive {entities_sql('select doc_id * 1000000 + s as doc_id, value as text from spans', CODE_RULES)} select doc_id // 1000000 as doc_id, doc_id % 1000000 as moved, * exclude (doc_id) from ents)
+ select doc_id, arg_min(value, (detector, value, category)) as value, cast(s + moved as bigint) as start_at, cast(e + moved as bigint) as end_at, arg_min(category, (detector, value, category)) as category,
+  round(arg_min(confidence, (detector, value, category)) * 0.9, 4) as confidence, 'code:' || min(detector) as detector from found group by doc_id, s + moved, e + moved""")
+def detect_in_code_plain(spark, sf_dir):
+    """``detect_in_code`` without the rules that look around, which its twin cannot run."""
+    return shaped(code.detect_in_code(code_docs(spark, sf_dir), CODE_RULES))
 
 
 @query("rule_overlay", "select 'email' as name, 'email' as category, 0.5 as confidence union all select 'ipv4', 'hostname', 0.95 union all "
