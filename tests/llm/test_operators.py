@@ -480,13 +480,31 @@ def test_bin_completion_reaches_the_optimum_of_small_sets():
     assert len(packing.complete(many, 1024)) < len(best_fit)  # here the search finds what best fit misses
 
 
-def test_words_are_coded_as_whole_texts_are():
+def test_coder_gives_the_ids_of_the_tokenizer():
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
     coder, whole = packing.Coder(path), Tokenizer.from_file(path)
     rnd = random.Random(0)
-    bits = ["a", "the", "Über", "é", " ", " ", " ", "\n", "\n\n", ".", ",", "***", "'s", "'", "1", "23", "_", "²", "́", "中", "\t", "\r", "🙂", "\xa0", "\u2028", "\x1c", "-", "can't"]
+    bits = ["a", "the", "Über", "é", " ", " ", " ", "\n", "\n\n", ".", ",", "***", "'s", "'", "1", "23", "_", "²", "́", "中", "\t", "\r", "🙂", "\xa0", "\u2028", "\x1c", "-", "can't", "<|endoftext|>", "\u180e", "\U0001e900", "\ua7cb", "\U00016d40", "ſ", "\x85", "\u0600", "٣", "Ⅷ"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(8000)]
     for text, ids in zip(texts, coder(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert coder.fast and coder.rare  # both ways were taken
+    assert packing.Coder(public_tokenizers.path("word_bpe_49k.json")).fast is None
+    long = [" " * 3_000_000 + "x", "\n \t" * 500_000, "b" * 200_000, "!" * 200_000, "", " "]
+    assert [np.frombuffer(i, "<u4").tolist() for i in coder(long)] == [whole.encode(t, add_special_tokens=False).ids for t in long]
+
+
+def test_coder_on_the_whole_vocabulary():
+    """Every token as a text of its own and beside every other kind of neighbour."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    coder, whole = packing.Coder(path), Tokenizer.from_file(path)
+    tokens = [whole.decode([i]) for i in range(whole.get_vocab_size())]
+    rnd = random.Random(5)
+    texts = tokens + ["".join(rnd.choices(tokens, k=6)) for _ in range(40000)]
+    for text, ids, same in zip(texts, coder(texts), whole.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == same.ids, repr(text)
