@@ -201,3 +201,21 @@ def test_patterns_agree_with_python(docs_of):
         for d, text in enumerate(texts):
             n = sum(1 for m in re.finditer(rule.pattern, text, flags) if any(m.groups()) or not m.groups())
             assert got.get((d, p), 0) == n, (rule.name, text)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_literals_beyond_the_automaton_are_found_wherever_they_stand(spark, monkeypatch, whole):
+    import random
+
+    monkeypatch.setattr(literals, "AUTOMATON_LITERALS", 0)
+    monkeypatch.setattr(literals, "SCANNED", 40)  # several steps a batch
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choice("ab1é𝄞") for _ in range(n))
+    words = {t: sorted({word(draw.randint(1, 9)) for _ in range(40)}) for t in ("x", "y")}
+    texts = [(t, i, word(draw.randint(0, 60))) for i, t in enumerate(("x", "y") * 20)] + [("x", 99, None)]
+    docs = spark.createDataFrame(texts, "tenant string, doc_id int, text string")
+    lits = spark.createDataFrame([(t, w) for t in words for w in words[t]], "tenant string, literal string")
+    found = {(r.doc_id, r.start, r.value) for r in literals.all_places(docs, lits, ("tenant",), whole=whole).collect()}
+    cut = lambda t, s, e: (s and t[s] == "1" and t[s - 1] == "1") or (e < len(t) and t[e - 1] == "1" and t[e] == "1")
+    assert found == {(i, s, w) for t, i, text in texts if text for w in words[t] for s in range(len(text))
+                     if text.startswith(w, s) and not (whole and cut(text, s, s + len(w)))}
