@@ -288,3 +288,10 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_dir(Fake())
+
+
+def test_payloads_are_edited_some_rows_at_a_time():
+    from pyspark.util import PythonEvalType
+    from veilframe.operators.payload import edit_strings
+
+    assert edit_strings.evalType == PythonEvalType.SQL_BATCHED_UDF  # not thousands of payloads in one Arrow batch

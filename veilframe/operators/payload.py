@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable
 from json.decoder import scanstring
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilframe.functions.text import wildcard_to_regex
@@ -172,26 +171,25 @@ def _enter(text: str, i: int, container: list, skip) -> tuple[str, int]:
     return f"{at}.{key}" if at else key, skip(skip(end) + 1)
 
 
-@F.pandas_udf(T.StringType())
-def edit_strings(payload: pd.Series, edits: pd.Series) -> pd.Series:
-    """JSON texts with the string values at the given paths replaced; broken texts stay as they are."""
-
-    def edited(text: str | None, changes) -> str | None:
-        if text is None or not changes:
-            return text
-        changes = dict(changes)
-        out, done = [], 0
-        try:
-            for path, start, end, value in string_places(text):
-                new = changes.get(path, value)
-                if new != value:
-                    out += [text[done:start], json.dumps(new, ensure_ascii=False)]
-                    done = end
-        except (ValueError, AttributeError, IndexError):
-            return text
-        return "".join([*out, text[done:]])
-
-    return pd.Series([edited(t, c) for t, c in zip(payload, edits)], dtype=object)
+@F.udf(T.StringType(), useArrow=False)
+def edit_strings(text: str | None, changes: dict | None) -> str | None:
+    """JSON text with the string values at the given paths replaced; a broken text stays as it is.
+
+    Rows come a hundred at a time: a payload and its changes are each as large as the message, and batches of
+    thousands would hold them all twice.
+    """
+    if text is None or not changes:
+        return text
+    out, done = [], 0
+    try:
+        for path, start, end, value in string_places(text):
+            new = changes.get(path, value)
+            if new != value:
+                out += [text[done:start], json.dumps(new, ensure_ascii=False)]
+                done = end
+    except (ValueError, AttributeError, IndexError):
+        return text
+    return "".join([*out, text[done:]])
 
 
 def walk_deep(df: DataFrame, json_col: str, fn: Callable[[Column], Column], out: str = "json_out") -> DataFrame:
