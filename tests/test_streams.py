@@ -102,3 +102,15 @@ def test_chunks_without_an_end_are_flushed_after_a_pause(spark, tmp_path):
     got = sorted((r.stream_id, r.seq, r.part) for r in spark.read.schema(made.schema).parquet(out).collect())
     assert [(s, p) for s, _, p in got if s == "s"] == [("s", "data: 1"), ("s", "data: 2"), ("s", "data: 3")] and len({(s, n) for s, n, _ in got}) == len(got)
     assert [p for s, _, p in got if s == "t"] == ["data: xy", "z"]
+
+
+def test_a_clock_moves_after_one_batch_of_all_files(spark, tmp_path):
+    from catalog.streams import with_clock
+
+    path = str(tmp_path / "rows")
+    spark.range(100).selectExpr("cast(id as string) stream_id", "timestamp'2026-01-01' ts").repartition(4).write.parquet(path)
+    sizes = []
+    stream = with_clock(spark, path, "stream_id string, ts timestamp").writeStream.foreachBatch(
+        lambda df, b: sizes.append((b, df.count(), df.select("ts").distinct().count())))
+    stream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert sizes == [(0, 100, 1), (1, 4, 1), (2, 4, 1)]
