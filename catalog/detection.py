@@ -95,7 +95,8 @@ SECRET_RULES = plain(R.family("core", "keys", "web", "plant", "prose", "cloud"))
 
 @query("resolve_overlaps", f"with recursive {entities_sql(D_SECRET, SECRET_RULES)}, {resolved_sql()} {ENTITY_COLS} resolved")
 def resolve_overlaps(spark, sf_dir):
-    return shaped(detect.resolve_overlaps(detect.detect_regex(secret_docs(spark, sf_dir), SECRET_RULES)))
+    docs = secret_docs(spark, sf_dir)
+    return shaped(detect.resolve_overlaps(detect.detect_regex(docs, SECRET_RULES, tasks=detect.tasks_by_text(docs))))
 
 
 @query("doc_filter", f"with {parts_sql(D_SECRET, R.named('email', 'url'))}, j as (select *, " + doc_sql()
@@ -155,7 +156,8 @@ F_ENTS = f"with recursive {entities_sql(D_PII, PII_RULES)}, {resolved_sql()}"
 
 
 def pii_resolved(spark, sf_dir):
-    return detect.resolve_overlaps(detect.detect_regex(pii_docs(spark, sf_dir), PII_RULES))
+    docs = pii_docs(spark, sf_dir)
+    return detect.resolve_overlaps(detect.detect_regex(docs, PII_RULES, tasks=detect.tasks_by_text(docs)))
 
 
 @query("min_confidence", f"{F_ENTS} select category, count(*) as n from resolved where confidence >= 0.9 group by category")
@@ -238,7 +240,9 @@ PEERS = " or ".join(f"(a.category = '{c}' and b.category in ({', '.join(q(p) for
  select e.doc_id, e.value, cast(e.s as bigint) as start_at, round(case when n.n > 0 then least(1.0, e.confidence + 0.08 * n.n) else e.confidence end, 4) as confidence
  from ents e left join near n on n.doc_id = e.doc_id and n.s = e.s and n.e = e.e and n.detector = e.detector""")
 def proximity_boost(spark, sf_dir):
-    return context.boost_proximity(detect.detect_regex(pii_docs(spark, sf_dir), PII_RULES)).select(
+    docs = pii_docs(spark, sf_dir)
+    tasks = detect.tasks_by_text(docs)
+    return context.boost_proximity(detect.detect_regex(docs, PII_RULES, tasks=tasks), tasks).select(
         "doc_id", "value", F.col("start").cast("bigint").alias("start_at"), F.round("confidence", 4).alias("confidence"))
 
 

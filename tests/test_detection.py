@@ -219,3 +219,24 @@ def test_literals_beyond_the_automaton_are_found_wherever_they_stand(spark, monk
     cut = lambda t, s, e: (s and t[s] == "1" and t[s - 1] == "1") or (e < len(t) and t[e - 1] == "1" and t[e] == "1")
     assert found == {(i, s, w) for t, i, text in texts if text for w in words[t] for s in range(len(text))
                      if text.startswith(w, s) and not (whole and cut(text, s, s + len(w)))}
+
+
+def test_texts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(detect, "SCAN_ROWS", 10)
+    monkeypatch.setattr(detect, "MATCH_ROWS", 2)
+    docs = detect.spread(spark.range(400).selectExpr("'' tenant", "id doc_id", "'mail bob@acme.com' text"))
+    assert docs.rdd.getNumPartitions() == 40 and detect.tasks_by_text(docs) == 200
+    assert detect.raw_matches(docs, R.named("email"), 200).count() == 400
+
+
+def test_texts_that_hold_the_mark_are_cut_right(docs_of):
+    text = f"{detect.MARK} a@b.com {detect.MARK}{detect.MARK} c@d.org{detect.MARK}"
+    got = detect.raw_matches(docs_of(text), R.named("email")).collect()
+    assert sorted((r.start, r.end, text[r.start:r.end], r.value) for r in got) == [(2, 9, "a@b.com", "a@b.com"), (13, 20, "c@d.org", "c@d.org")]
+
+
+def test_first_characters_of_rules():
+    assert R.first_characters(r"(?:\+1[ ]?)?\(?\d{3}", False) == set("+(0123456789")
+    assert R.first_characters(r"\b(?:ab|[x-z])c", True) == set("aAxXyYzZ")
+    assert R.first_characters(r"[^a]b", False) is None and R.first_characters(r"a*", False) is None
+    assert all(r.pattern for r in R.BUILTIN) and R.java_pattern(R.named("dob_keyword")[0]).startswith("(?i)(?=[")
