@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from veilframe.operators import code, context, detect, literals, rules as R
+from veilframe.operators.restore import with_spans
 from veilframe.operators.examples import is_doc_example
 from veilframe.functions.ip import is_mask
 
@@ -221,6 +222,56 @@ def test_literals_beyond_the_automaton_are_found_wherever_they_stand(spark, monk
                      if text.startswith(w, s) and not (whole and cut(text, s, s + len(w)))}
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_literals_that_stand_outside_spans(spark, monkeypatch, whole):
+    import random
+
+    monkeypatch.setattr(literals, "SCANNED", 40)
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("ab12é𝄞") for _ in range(n))
+    words = {t: sorted({word(draw.randint(1, 9)) for _ in range(60)}) for t in ("x", "y")}
+    texts = [(t, i, word(draw.randint(0, 40))) for i, t in enumerate(("x", "y") * 12)] + [("x", 98, "ab"), ("x", 99, None)]
+    docs = spark.createDataFrame(texts, "tenant string, doc_id int, text string").repartition(3)
+    spans = [(i, s, s + 5) for _, i, text in texts if text and i < 98 for s in range(0, len(text) - 6, draw.choice((5, 8)))]
+    lits = spark.createDataFrame([(t, w) for t in words for w in words[t]] + [("x", ""), ("x", None)], "tenant string, literal string")
+    held = with_spans(docs, spark.createDataFrame(spans, "doc_id int, start int, end int"))
+    found = [tuple(r) for r in literals.standing_free(held, lits, ("tenant",), whole=whole).collect()]
+    digit = lambda t, i: 0 <= i < len(t) and t[i] in "0123456789"
+    want = set()
+    for t, i, text in texts:
+        for w in words[t] if text else ():
+            for s in range(len(text)):
+                e = s + len(w)
+                cut = whole and (digit(text, s) and digit(text, s - 1) or digit(text, e - 1) and digit(text, e))
+                last = max((x for x in spans if x[0] == i and x[1] <= s), default=(i, 0, 0))
+                if text.startswith(w, s) and not cut and e > last[2]:
+                    want.add((t, w))
+    assert len(found) == len(set(found)) and set(found) == want
+    assert len(want) < len(words["x"]) + len(words["y"])
+
+
+def test_position_tests_grow_with_the_dictionary(spark):
+    words = spark.range(100_000).selectExpr("concat(substring(sha2(cast(id as string), 256), 1, 6 + cast(id % 40 as int))) literal")
+    firsts, wholes, lengths, sizes = literals.literal_places(words, [], 100_000)
+    share = lambda t: sum(int(x).bit_count() for x in t) / (64 * len(t))
+    assert share(firsts) < 1 / 8 and share(wholes) < 1 / 8 and sizes == {6: list(range(6, 46))}
+    # ten times the literals: as full as before, so candidates do not multiply
+    assert len(literals.literal_places(words, [], 1_000_000)[1]) >= 8 * len(wholes)
+
+
+def test_rule_tests_are_generated_code(docs_of):
+    plan = detect.raw_matches(docs_of("mail bob@acme.com"), R.BUILTIN)._jdf.queryExecution().optimizedPlan().toString()
+    tests = [line for line in plan.splitlines() if "RLIKE(" in line and "AS __hits" in line]
+    assert tests and not any("filter(array(" in line for line in tests)
+    branches = detect.by_halves([str(i) for i in range(174)])
+    assert branches.count("if(") == 173
+    depth = most = 0
+    for c in branches:
+        depth += (c == "(") - (c == ")")
+        most = max(most, depth)
+    assert most == 8  # as many comparisons a row, not one for each rule
+
+
 def test_texts_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(detect, "SCAN_ROWS", 10)
     monkeypatch.setattr(detect, "MATCH_ROWS", 2)
